@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, licenses, line_dedup, packing, token_counts, token_store, url_filter
+from quern.llm import jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store, url_filter
 from quern.llm.common import new_path, read_table
 
 
@@ -29,6 +29,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> dict[str, bytes]:
     return language.train(docs.where(~language.held_out(F.col("doc_id"))))
 
@@ -58,7 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_packing, op5_line_dedup, op7_language, op8_token_store, op9_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op2_token_counts, op4_packing, op5_line_dedup, op6_jaccard_join, op7_language, op8_token_store, op9_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,6 +76,16 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '')) as kept_sha256
             from m group by doc_id""",
+        "op6_jaccard_join": r"""
+            with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+            s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w),
+            n as (select doc_id, count(*) as n from s group by 1),
+            o as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+            l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+            e as (select a, b from l union all select b, a from l),
+            r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a)
+            select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id from r left join n on n.doc_id = r.a group by r.a""",
         "op9_url_filter": _url_sql(),
         "op10_license_scan": _license_sql(),
     }
