@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store, url_filter
+from quern.llm import embedding_dedup, jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store, url_filter
 from quern.llm.common import new_path, read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -62,7 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_packing, op5_line_dedup, op6_jaccard_join, op7_language, op8_token_store, op9_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op4_packing, op5_line_dedup, op6_jaccard_join, op7_language, op8_token_store, op9_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
