@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import embedding_dedup, jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store, url_filter
+from quern.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store, url_filter
 from quern.llm.common import new_path, read_table
 
 
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -65,8 +69,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op4_packing, op5_line_dedup, op6_jaccard_join, op7_language, op8_token_store, op9_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_packing, op5_line_dedup, op6_jaccard_join, op7_language, op8_token_store, op9_url_filter, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
