@@ -47,14 +47,11 @@ class BpeEncoder:
         self.bpe = self.full.model
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_alphabet()))
+        self.packed = [i.to_bytes(2, "little") for i in range(65_536)]
         self.units: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    @staticmethod
-    def _packed(ids) -> bytes:
-        return b"".join([i.to_bytes(2, "little") for i in ids])
-
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
@@ -64,7 +61,8 @@ class BpeEncoder:
         """One match of the tokenizer's pattern."""
         got = self.runs.get(run)
         if got is None:
-            got = self._packed([t.id for t in self.bpe.tokenize(run.encode().decode("latin-1").translate(self.letters))])
+            packed = self.packed
+            got = b"".join([packed[t.id] for t in self.bpe.tokenize(run.encode().decode("latin-1").translate(self.letters))])
             if len(run) <= MEMO_CHARS:
                 if len(self.runs) >= MEMO_UNITS:
                     self.runs.clear()
@@ -72,10 +70,18 @@ class BpeEncoder:
         return got
 
     def _unit(self, blank: str, word: str) -> bytes:
-        core = word.rstrip(_SYMBOLS)
-        if core.isalpha() and max(core) < "ɐ":
-            tail = word[len(core):]
-            return self._run(blank + core) + (self._run(tail) if tail else b"")
+        core = word if word.isalpha() else word.rstrip(_SYMBOLS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return self._run(blank + core) + (self._run(word[len(core):]) if core is not word else b"")
+        if "\n" in word:
+            lines = word.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                # a lone newline between two characters that are not white space is a match of its own
+                out = [self.units.get(lines[0]) if blank else self.first.get(lines[0])]
+                out[0] = out[0] or self._remembered(self.units if blank else self.first, blank, lines[0])
+                for x in lines[1:]:
+                    out += (self._run("\n"), self.first.get(x) or self._remembered(self.first, "", x))
+                return b"".join(out)
         return self._whole(blank + word)
 
     def _remembered(self, memo: dict, blank: str, word: str) -> bytes:
@@ -92,19 +98,19 @@ class BpeEncoder:
         if any(s in text for s in self.special):
             return self._whole(text)
         words = text.split(" ")
-        get = self.units.get
-        out = list(map(get, words))
+        out = list(map(self.units.get, words))
         out[0] = self.first.get(words[0])
-        if None not in out:
+        try:
             return b"".join(out)
-        for w in words:
+        except TypeError:  # None: units that are new, or that are never remembered
+            new = [i for i, got in enumerate(out) if got is None]
+        for i in new:
+            w = words[i]
             if not w or w[0].isspace() or w[-1].isspace():
                 return self._merged(words)
-        for i, got in enumerate(out):
-            if got is None:
-                w = words[i]
-                memo = self.units if i else self.first
-                out[i] = memo.get(w) or self._remembered(memo, " " if i else "", w)
+        for i in new:
+            memo = self.units if i else self.first
+            out[i] = memo.get(words[i]) or self._remembered(memo, " " if i else "", words[i])
         return b"".join(out)
 
     def _merged(self, words: list[str]) -> bytes:

@@ -9,7 +9,7 @@ A store is a folder with four tables:
 * `parts`: part int, n_docs long, n_tokens long, root binary: the Merkle root over the part's recipes.
 * `manifest`: n_docs long, n_tokens long, root binary: the Merkle root over the parts.
 
-Ids are cut where a rolling hash over the last 16 ids has its low bits zero, so that equal passages of different
+Ids are cut where a rolling hash over the last 8 ids has its low bits zero, so that equal passages of different
 documents give equal chunks wherever they stand.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import new_path, remove
 
-WINDOW = 16
+WINDOW = 8
 LEAST, MEAN_BITS, MOST = 256, 11, 8192
 
 
@@ -36,26 +36,31 @@ def _gear():
     return np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids, gear, least: int = LEAST, bits: int = MEAN_BITS, most: int = MOST) -> list[int]:
-    """Ends of the chunks of an array of ids; the last is its length. Chunks have least to most ids but for the last."""
+def marks(ids, gear, bits: int = MEAN_BITS):
+    """Places after which the rolling hash over WINDOW ids lets a chunk end."""
     import numpy as np
 
-    n = len(ids)
-    if n <= least:
-        return [n]
     g = gear[ids]
-    h = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        h[j:] += g[: n - j] << np.uint64(3 * j)
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
-    ends, at = [], 0
-    while n - at > least:
-        k = np.searchsorted(marks, at + least)
-        end = int(marks[k]) if k < len(marks) else n
-        at = min(end, at + most, n)
+    h = g.copy()
+    for j in range(1, min(WINDOW, len(ids))):
+        h[j:] += g[:-j] << np.uint64(5 * j)
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
+
+
+def cut_points(found, begin: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of the ids from begin to end, given sorted marks; the last is `end`. Chunks have least to most ids but for the last.
+
+    least is more than WINDOW, so that the ids before `begin` don't count.
+    """
+    import bisect
+
+    ends, at = [], begin
+    while end - at > least:
+        k = bisect.bisect_left(found, at + least)
+        at = min(found[k] if k < len(found) else end, at + most, end)
         ends.append(at)
-    if at < n:
-        ends.append(n)
+    if at < end or not ends:
+        ends.append(end)
     return ends
 
 
@@ -124,7 +129,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
 
         from quern.llm.encoding import loaded
 
-        encoder, gear, press = loaded(tokenizer_path), _gear(), zstandard.ZstdCompressor(level=3, write_content_size=True)
+        encoder, gear, press = loaded(tokenizer_path), _gear(), zstandard.ZstdCompressor(level=1, write_content_size=True)
         uid, seen = TaskContext.get().partitionId() << 36, set()
         names = ["kind", "uid", "id", "address", "n_ids", "ids", "chunks"]
         pair = pa.list_(pa.struct([("address", pa.binary()), ("n_ids", pa.int32())]))
@@ -133,11 +138,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
                 rows: tuple[list, ...] = tuple([] for _ in names)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.frombuffer(encoder.encode(text.as_py()) + b"\0\0", "<u2")
-                    recipe, at = [], 0
-                    for end in cut_points(ids, gear):
-                        raw = ids[at:end].tobytes()
+                bodies = [encoder.encode(t) + b"\0\0" for t in part.column(1).to_pylist()]
+                whole = b"".join(bodies)
+                found, begin = marks(np.frombuffer(whole, "<u2"), gear).tolist(), 0
+                for doc, body in zip(part.column(0).to_pylist(), bodies):
+                    recipe, at = [], begin
+                    begin += len(body) // 2
+                    for end in cut_points(found, at, begin):
+                        raw = whole[2 * at : 2 * end]
                         address = hashlib.sha256(raw).digest()
                         recipe.append({"address": address, "n_ids": end - at})
                         if address not in seen:
