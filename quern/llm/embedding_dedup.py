@@ -18,7 +18,7 @@ BEAM, AUDIT, AUDIT_RECALL = 24, 64, 0.995
 QUERY_BATCH = 256
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
+def unit(rows: list) -> tuple[list[int], list[np.ndarray]]:
     """(which rows are vectors, those as unit vectors): no nulls, all components finite, not zero."""
     good, out = [], []
     for i, v in enumerate(rows):
@@ -32,7 +32,7 @@ def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
             a = a / top
             good.append(i)
             out.append(a / math.sqrt(float(a @ a)))
-    return np.array(good, np.int64), np.array(out)
+    return good, out
 
 
 class Shard:

@@ -184,8 +184,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     chunks_schema = "address binary, n_ids int, ids binary"
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staged}/kind=chunk"), jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")):
+    made = jvm.org.apache.hadoop.fs.Path(f"{staged}/kind=chunk")
+    if not fs.exists(made):
         spark.createDataFrame([], chunks_schema).write.parquet(f"{path}/chunks")
+    elif not fs.rename(made, jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")):
+        raise OSError(f"{path}/chunks can't be made")
     recipe_schema = f"uid long, id {kind}, chunks array<struct<address: binary, n_ids: int>>"
     found = spark.read.schema(f"kind string, {recipe_schema}").parquet(staged).where("kind = 'recipe'")
     (
