@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +44,8 @@ def run(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("than", "the
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rules = spark.createDataFrame([("blocked", "subdomains", "spam-farm.example.org")], "list string, kind string, rule string")
     ok = staged_candidates(p, rules).where("reason is null or reason = 'seen'").select("page_id", "url", "html")
-    candidates = facts.fact_candidates(ok)
+    # read by three aggregations: kept in memory or on disk, so that pages are parsed once
+    candidates = facts.fact_candidates(ok).persist(StorageLevel.MEMORY_AND_DISK)
     own = facts.resolved(candidates).where("not conflict").select("entity_id", "name", "value", "confidence")
     services = facts.resolved_services(candidates).select("entity_id", F.array_join("services", ", ").alias("offered"))
     rows = candidates.select("entity_id", "pos", "name", "value", F.lit("explicit").alias("basis"), "confidence", F.array("url").alias("evidence_urls"))
