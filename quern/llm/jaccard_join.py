@@ -31,7 +31,8 @@ from quern.llm.shingles import set_id, shingle_set
 
 #: Lists of more classes than this are long.
 SHORT = 64
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+BUCKET_SHIFT = np.uint64(64 - 20)
 BLOOM_BITS = 1 << 24
 PAIRS_PER_BLOCK = 4_000
 CLASSES_PER_BLOCK = 1_500
@@ -162,14 +163,15 @@ def _sets_of(docs: DataFrame, kind: str, width: int) -> DataFrame:
 
 def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(BUCKETS, np.uint64)
+        total = np.zeros(BUCKETS, np.uint32)
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                made = [shingle_set(t.as_py(), width) for t in b.column(1).slice(i, 200).cast(pa.binary())]
-                total += np.bincount((np.concatenate(made) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS).astype(np.uint64)
+            for i in range(0, b.num_rows, 300):
+                made = [shingle_set(t.as_py(), width) for t in b.column(1).slice(i, 300).cast(pa.binary())]
+                at, n = np.unique(np.concatenate(made) >> BUCKET_SHIFT, return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         return total
 
-    return folded(docs, partial, np.add, BUCKETS, "u8")
+    return folded(docs, partial, lambda a, b: np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32), BUCKETS, "u4")
 
 
 LISTED = "list long, class long, n long, salt int, hot boolean"
@@ -189,7 +191,7 @@ def _prefixes(docs: DataFrame, rank: bytes, heavy: bytes, percent: int, width: i
                     if not len(s) or (c := set_id(s)) in seen:
                         continue
                     seen.add(c)
-                    bucket = (s >> np.uint64(46)).astype(np.int64)
+                    bucket = (s >> BUCKET_SHIFT).astype(np.int64)
                     first = np.lexsort((s, ranks[bucket]))[: prefix_size(len(s), percent)]
                     out.append((s[first].view(np.int64), c, len(s), np.where(is_heavy[bucket[first]], c % SALTS, -1)))
                 if out:
