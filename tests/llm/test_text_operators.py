@@ -267,6 +267,27 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(make(spark, texts), bench.limit(0)).count() == 0 and decontaminate.find_leaks(make(spark, []), bench).count() == 0
 
 
+def test_leaks_at_the_full_limit():
+    import random
+
+    rnd = random.Random(11)
+    words = lambda n: " ".join("".join(rnd.choices("aaeeioubcdfglmnprst", k=rnd.randint(2, 9))) for _ in range(n))
+    items = [(k, words(40)[: rnd.randint(96, 140)].strip().ljust(96, "x")) for k in range(20)]
+    cases = []
+    for i in range(200):
+        k, t = items[i % 20]
+        c = list(t)
+        for _ in range(int(0.2 * len(t))):
+            at, kind = rnd.randrange(len(c)), rnd.randrange(3)
+            c[at : at + 1] = [[], [rnd.choice("qxyz")], [c[at], rnd.choice("qxyz")]][kind]
+        text = words(30)[: 100 + i] + " " + "".join(c) + " " + words(20)
+        if decontaminate.edit_distance_within(t, decontaminate.normal(text))[0] <= int(0.2 * len(t)):
+            cases.append((k, text))
+    index = decontaminate.Index(items, 0.2)
+    found = [{index.item_id(j) for j in f} for f in index.matches([t for _, t in cases])]
+    assert len(cases) > 150 and sum(k in f for (k, _), f in zip(cases, found)) >= 0.95 * len(cases)
+
+
 def test_edit_distance():
     def plain(a, b):
         best = list(range(len(a) + 1))
