@@ -17,7 +17,9 @@ Recall: a key is found if its SAMPLES places agree; with a share h of the places
 occurrence of n characters is missed with probability (1 - (1 - h) ** SAMPLES) ** (WALKS * TABLES * (n - WINDOW) / STRIDE).
 Windows overlap, so the chances of one occurrence are not independent and the figures are measured ones. Exact
 copies are always found. Target: 98 % of the occurrences edited in 20 % of their characters, the full limit, for
-each length from SHORT_ITEM on; README gives what was measured.
+each length from WINDOWED_ITEM on; README gives what was measured.
+
+Items of fewer than WINDOWED_ITEM characters are held against every stretch, so that none within the limit is missed.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ WALKS, TABLES, SAMPLES = 2, 12, 7
 #: Of the places of two strings of a walk, the share that must agree before an item is aligned. Strings of
 #: unrelated windows agree in a tenth of their places.
 LEAST_AGREEMENT = 0.62
-#: Items of fewer characters must occur exactly.
-SHORT_ITEM = 96
+#: Items of fewer characters have too few windows and are held against every stretch.
+WINDOWED_ITEM = 96
+#: Items of fewer characters must occur exactly: none.
+SHORT_ITEM = 1
+#: Short items are held against runs of this many characters at a time, GROUP of their parts together.
+SPAN, GROUP = 480, 8
 #: Characters of the items that are held against the documents at a time; more items take more passes.
 BLOCK_CHARS = 200_000
 FILTER_BITS = 23
@@ -105,6 +111,53 @@ class Walks:
             yield out, keys
 
 
+class Short:
+    """Items held against every stretch of a text.
+
+    An item is cut into parts of at most 64 characters; if it is within k edits of a stretch, one of its p parts is
+    within k // p. The bit vectors of a part advance over all runs of the text together. Bytes stand for characters,
+    which can only make a distance less.
+    """
+
+    def __init__(self, items: list[str], allowed: list[int]):
+        parts = [(k, piece, allowed[k] // n) for k, t in enumerate(items) for n in [-(-len(t) // 64)] for piece in np.array_split(codes(t), n)]
+        self.owner = np.array([k for k, _, _ in parts], np.int64)
+        self.length = np.array([[len(c)] for _, c, _ in parts], np.uint64).reshape(-1, 1)
+        self.edits = np.array([[e] for _, _, e in parts], np.int32).reshape(-1, 1)
+        self.peq = np.zeros((len(parts), 256), np.uint64)
+        for i, (_, c, _) in enumerate(parts):
+            for j, x in enumerate(c.tolist()):
+                self.peq[i, x] |= np.uint64(1 << j)
+        #: A stretch that begins in a run ends within as many characters after it.
+        self.width = SPAN + max((len(t) + a for t, a in zip(items, allowed)), default=0)
+
+    def candidates(self, text: np.ndarray) -> set[tuple[int, int]]:
+        """(item, start of a run) for all runs of width characters that may hold an item."""
+        runs, one, out = -(-len(text) // SPAN), np.uint64(1), set()
+        padded = np.concatenate([text, np.zeros(runs * SPAN + self.width - len(text), np.uint8)])
+        chars = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[: runs * SPAN : SPAN].T)
+        for i in range(0, len(self.owner), GROUP):
+            peq, length = self.peq[i : i + GROUP], self.length[i : i + GROUP]
+            last = length - one
+            pv, mv = np.full((len(peq), runs), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros((len(peq), runs), np.uint64)
+            score = np.repeat(length.astype(np.int32), runs, 1)
+            best = score.copy()
+            for row in chars:
+                eq = peq.take(row, 1)
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += (ph >> last & one).astype(np.int32)
+                score -= (mh >> last & one).astype(np.int32)
+                np.minimum(best, score, out=best)
+                ph <<= one
+                mh <<= one
+                pv, mv = mh | ~(xv | ph), ph & xv
+            part, run = np.nonzero(best <= self.edits[i : i + GROUP])
+            out.update(zip(self.owner[i + part].tolist(), (run * SPAN).tolist()))
+        return out
+
+
 class Index:
     """Keys of all windows of a block of items."""
 
@@ -114,7 +167,7 @@ class Index:
         for k, text in items:
             n = normal(text)
             if n:
-                (self.items if len(n) >= SHORT_ITEM else self.short).append((k, n))
+                (self.items if len(n) >= WINDOWED_ITEM else self.short).append((k, n))
         sizes = [len(n) - WINDOW + 1 for _, n in self.items]
         text = np.concatenate([*(codes(n) for _, n in self.items), np.zeros(STEPS + 1, np.uint8)])
         begin = np.cumsum([0] + [len(n) for _, n in self.items])[:-1]
@@ -130,7 +183,11 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 self.tables[-1].append((key[order], order))
                 self.filter[key >> np.uint32(32 - FILTER_BITS)] = True
-        self.shortest = min([len(n) - int(max_share * len(n)) for _, n in self.items] + [len(n) for _, n in self.short], default=None)
+        self.shortest = min([len(n) - int(max_share * len(n)) for _, n in self.items + self.short], default=None)
+        allowed = [int(max_share * len(n)) for _, n in self.short]
+        #: Places in short of the items that may be edited; the others must occur exactly.
+        self.loose = [k for k, a in enumerate(allowed) if a]
+        self.near = Short([self.short[k][1] for k in self.loose], [allowed[k] for k in self.loose])
 
     def candidates(self, text: np.ndarray) -> set[tuple[int, int]]:
         """(item, place where it would start, in steps of 16) for all keys that agree; text is padded by STEPS."""
@@ -168,11 +225,24 @@ class Index:
                 at = plain[i].find(n)
                 if at >= 0:
                     found[i][len(self.items) + k] = (0, at + len(n))
-        if not use or not self.items:
+        if not use:
             return found
         gap = np.zeros(STEPS + 1, np.uint8)
         joined = np.concatenate([x for i in use for x in (codes(plain[i]), gap)])
         begin = np.cumsum([0] + [len(plain[i]) + len(gap) for i in use])
+        for loose, start in sorted(self.near.candidates(joined) if self.loose else ()):
+            k = self.loose[loose]
+            n = self.short[k][1]
+            doc = int(np.searchsorted(begin, start, "right")) - 1
+            while doc < len(use) and begin[doc] < start + self.near.width:
+                held = found[use[doc]].get(len(self.items) + k)
+                if held is None or held[0]:
+                    left = max(0, start - int(begin[doc]))
+                    stretch = plain[use[doc]][left : max(0, start - int(begin[doc]) + self.near.width)]
+                    edits, end = edit_distance_within(n, stretch)
+                    if edits <= int(self.max_share * len(n)) and (held is None or (edits, left + end) < held):
+                        found[use[doc]][len(self.items) + k] = (edits, left + end)
+                doc += 1
         for item, place in sorted(self.candidates(joined)):
             n = self.items[item][1]
             allowed = int(self.max_share * len(n))
@@ -227,7 +297,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.2, id_col
 
     edits is the least distance found, end the place in the normalised text where that stretch ends. Whole texts
     are searched, map-side, without a shuffle; items go to the workers in blocks of BLOCK_CHARS characters, one
-    pass over the documents for each block. Items of fewer than SHORT_ITEM characters must occur exactly. Null and
+    pass over the documents for each block. Items of fewer than WINDOWED_ITEM characters are held against every stretch. Null and
     empty texts, of documents or items, match nothing; repeated rows are reported each; equal items each; an
     empty table gives no rows; other columns are not read.
     """

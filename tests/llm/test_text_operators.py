@@ -288,6 +288,28 @@ def test_leaks_at_the_full_limit():
     assert len(cases) > 150 and sum(k in f for (k, _), f in zip(cases, found)) >= 0.95 * len(cases)
 
 
+def test_short_items_may_be_edited():
+    import random
+
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choices("aeioubcdfglmnprst", k=rnd.randint(2, 9))) for _ in range(n))
+    items = [(k, words(20)[:n].strip().ljust(n, "x")) for k, n in enumerate((3, 5, 12, 19, 40, 63, 64, 65, 81, 90, 95))]
+    texts = ["", words(3)]
+    for _, t in items:
+        for edits in range(int(0.2 * len(t)) + 2):
+            c = list(t)
+            for _ in range(edits):
+                at, kind = rnd.randrange(len(c)), rnd.randrange(3)
+                c[at : at + 1] = [[], ["q"], [c[at], "ø"]][kind]
+                c = c or ["q"]
+            texts.append(words(rnd.randint(0, 150)) + " " + "".join(c) + words(rnd.randint(0, 20)))
+    index = decontaminate.Index(items, 0.2)
+    got = {(i, index.item_id(k)): e for i, f in enumerate(index.matches(texts)) for k, (e, _) in f.items()}
+    brute = {(i, k): decontaminate.edit_distance_within(t, decontaminate.normal(x))[0] for i, x in enumerate(texts) for k, t in items if len(decontaminate.normal(x))}
+    assert got == {(i, k): e for (i, k), e in brute.items() if e <= int(0.2 * len(dict(items)[k]))}
+    assert any(e for (_, k), e in got.items() if k == 10)
+
+
 def test_edit_distance():
     def plain(a, b):
         best = list(range(len(a) + 1))
