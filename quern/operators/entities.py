@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text, urls
 
-#: Blocks of more records than this are paired by record against the block's first: links stay connected.
-MAX_BLOCK = 500
+#: Larger blocks are paired slice by slice.
+SALT_ROWS = 500
 
 
 def signals(companies: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
@@ -23,19 +23,43 @@ def signals(companies: DataFrame, suffixes: list[str] | None = None) -> DataFram
 
 
 def candidate_pairs(signals_: DataFrame) -> DataFrame:
-    """(a, b), a < b: records that share a domain, an identifier, a name or the first six letters of one. No other pair can merge or need a review.
+    """(a, b), a < b: records that share a domain, an identifier, a name or the first six letters of one.
 
-    Each block key is a join key; pairs of small blocks are made by an equi join, those of larger ones against the
-    block's smallest id only, which keeps the block connected without making all its pairs.
+    Each block key is a join key and all pairs of a block are made. Blocks of more than SALT_ROWS records are cut in
+    slices by id, and each two slices meet under a key of their own, so that no task makes all pairs of a large block.
     """
     prefix = F.substring(F.replace("norm_name", F.lit(" "), F.lit("")), 1, 6)
     keys = F.array_compact(F.array_union(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("d:"), "canonical"), F.concat(F.lit("n:"), "norm_name"), F.concat(F.lit("p:"), prefix)), F.transform("ids", lambda i: F.concat(F.lit("i:"), i))))
-    blocks = signals_.select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    sizes = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-    sized = blocks.join(sizes, "key")
-    small = sized.where(F.col("n") <= MAX_BLOCK).select("key", "id")
-    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    return pairs.union(sized.where((F.col("n") > MAX_BLOCK) & (F.col("id") > F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b"))).distinct()
+    return _block_pairs(signals_.select("id", F.explode(F.array_distinct(keys)).alias("key")))
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: all pairs of the ids of each key of (id, key)."""
+    sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("slices"), F.count("*").alias("n")).where("n > 1")
+    sized = blocks.join(sizes, "key").select("key", "id", "slices", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("s"))
+    first = sized.select("key", F.col("id").alias("a"), "s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("t"))
+    second = sized.select("key", F.col("id").alias("b"), F.col("s").alias("t"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"))
+    return first.join(second, ["key", "s", "t"]).where("a < b").select("a", "b").distinct()
+
+
+def merge_edges(signals_: DataFrame) -> DataFrame:
+    """(a, b): edges that connect what the merges among all pairs of records connect, without making those pairs.
+
+    Merges are decided by domain, canonical domain and identifiers only, so records equal in these are one kind. Kinds
+    are judged by their smallest ids, each also against itself; where two merge, all records of one meet the
+    smallest of the other, which connects all of both.
+    """
+    kinds = signals_.withColumn("kind", F.struct("domain", "canonical", F.array_sort("ids").alias("ids")))
+    kinds = kinds.withColumn("kind", F.sha2(F.to_json("kind"), 256))
+    low = kinds.groupBy("kind").agg(F.min("id").alias("low"))
+    members = kinds.select("id", "kind").join(low, "kind").select("id", "low")
+    ones = signals_.join(low.select(F.col("low").alias("id")), "id", "left_semi")
+    keys = F.array_compact(F.array_union(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("d:"), "canonical")), F.transform("ids", lambda i: F.concat(F.lit("i:"), i))))
+    pairs = _block_pairs(ones.select("id", F.explode(F.array_distinct(keys)).alias("key"))).union(ones.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    merged = decided_pairs(ones, pairs).where("outcome = 'merge'").select("a", "b")
+    left = merged.join(members, F.col("low") == F.col("a")).select(F.col("id").alias("a"), "b")
+    right = merged.join(members, F.col("low") == F.col("b")).select("a", F.col("id").alias("b"))
+    return left.union(right).where("a <> b").distinct()
 
 
 def _ids_by_source(ids: Column, source: str) -> Column:

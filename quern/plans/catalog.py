@@ -615,14 +615,14 @@ CLUSTERS = DECISIONS.replace("with c as", "with recursive c as", 1) + """, m as
 def dec_05_clusters(spark, sf_dir):
     c = companies(spark, sf_dir)
     s = entities.signals(c, S.HOST_SUFFIXES)
-    return entities.clusters(c.select("id"), entities.decided_pairs(s, entities.candidate_pairs(s)).where("outcome = 'merge'"))
+    return entities.clusters(c.select("id"), entities.merge_edges(s))
 
 
 @query(CLUSTERS + """ select cluster, arg_max(name, (confidence, -id)) as name, arg_max('https://' || domain, (confidence, -id)) as website_url, min(created_at) as created_at, max(updated_at) as updated_at, string_agg(distinct url, '|' order by url) as evidence_urls, count(*) as members from k join c using (id) group by 1""")
 def agg_06_merged_records(spark, sf_dir):
     c = companies(spark, sf_dir)
     s = entities.signals(c, S.HOST_SUFFIXES)
-    merged = entities.merged_records(c, entities.clusters(c.select("id"), entities.decided_pairs(s, entities.candidate_pairs(s)).where("outcome = 'merge'")))
+    merged = entities.merged_records(c, entities.clusters(c.select("id"), entities.merge_edges(s)))
     return merged.withColumn("evidence_urls", F.array_join("evidence_urls", "|"))
 
 

@@ -66,6 +66,21 @@ def test_entity_ladder(spark):
     assert {r.id: r.cluster for r in entities.clusters(c.select("id"), merges).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_large_block_of_entities(spark):
+    # the smallest id of the block conflicts with record 2; two ids make every pair of record 0 a review
+    for ids in (["wikidata:Q1"], ["wikidata:Q1", "wikidata:Q2"]):
+        rows = [(0, "zero", "https://big.nl", None, ids), (2, "two", "https://big.nl", None, ["wikidata:Q2"])] + [(k, f"n{k}", "https://big.nl", None, []) for k in range(3, 602)] + [(700, "Other", "https://else.nl", None, ["wikidata:Q2"])]
+        c = spark.createDataFrame(rows, "id long, name string, website_url string, canonical_url string, ids array<string>")
+        s = entities.signals(c)
+        pairs = entities.candidate_pairs(s)
+        assert pairs.where("a <> 700 and b <> 700").count() == 601 * 600 // 2
+        decided = entities.decided_pairs(s, pairs).where("outcome = 'merge'")
+        assert decided.where("a = 2 and b = 3").count() == 1
+        got, whole = ({r.id: r.cluster for r in entities.clusters(c.select("id"), edges).collect()} for edges in (entities.merge_edges(s), decided))
+        first = 0 if len(ids) == 1 else 2
+        assert got == whole == {0: 0, **{k: first for k in (2, 700, *range(3, 602))}}
+
+
 def test_scores_add_up(spark):
     facts_ = spark.createDataFrame(
         [("e", 1, "services", "Shopify design", "explicit", 0.9, ["https://e.nl/a"]), ("e", 2, "country", "the Netherlands", "explicit", 0.9, ["https://e.nl/b"]), ("e", 3, "website_url", "https://e.nl/", "explicit", 0.9, ["https://e.nl/"]), ("e", 4, "contact_page_url", "https://e.nl/contact", "explicit", 0.9, ["https://e.nl/"])],
