@@ -333,8 +333,8 @@ TERMS_TEXT = "case doc_id % 4 when 0 then 'Scraping is prohibited here. ' || t w
     p as (select doc_id, sum(length(b) + length(w)) over (partition by doc_id order by k) - length(w) as at from (select doc_id, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 1)) as b, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 2)) as w, unnest(range(1, 1 + len(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 1)))) as k from d))
     select doc_id, case when not exists (select 1 from a where a.doc_id = d.doc_id) then 'approved' when exists (select 1 from a join p on a.doc_id = p.doc_id and abs(a.at - p.at) <= 180 where a.doc_id = d.doc_id) then 'potential_automated_access_prohibition' else 'ambiguous_automation_language' end as signal from d""")
 def flt_13_terms_signal(spark, sf_dir):
-    k, t = F.col("doc_id") % 4, F.substring("text", 1, 400)
-    made = F.when(k == 0, F.concat(F.lit("Scraping is prohibited here. "), t)).when(k == 1, F.concat(F.lit("Robots welcome. "), t, F.lit(" You must not copy."))).when(k == 2, t).otherwise(F.concat(F.lit("data extraction "), F.substring(t, 1, 60), F.lit(" is not permitted")))
+    k, t = F.col("doc_id") % 4, F.col("text")
+    made = F.when(k == 0, F.concat(F.lit("Scraping is prohibited here. "), t)).when(k == 1, F.concat(F.lit("Robots welcome. "), t, F.lit(" You must not copy."))).when(k == 2, t).otherwise(F.concat(F.lit("data extraction "), F.substring(t, 1, 60), F.lit(" is not permitted "), F.substr(t, F.lit(61))))
     return table(spark, sf_dir, "documents").select("doc_id", policy.terms_signal(made).alias("signal"))
 
 

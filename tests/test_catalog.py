@@ -25,6 +25,16 @@ def test_query_matches_sql(spark, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == expected
 
 
+def test_terms_after_any_length(spark, tmp_path):
+    filler = "plain words of text " * 100
+    texts = [filler, filler, filler + "web scraping is prohibited", filler + "no robots, must not copy", filler, filler + "robots", filler, filler + "not permitted: crawling"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.signal for r in catalog.QUERIES["flt_13_terms_signal"](spark, str(tmp_path)).collect()}
+    hit, vague = "potential_automated_access_prohibition", "ambiguous_automation_language"
+    # 5: robots stands beside the words that the query adds after the text
+    assert got == {0: hit, 1: vague, 2: hit, 3: hit, 4: hit, 5: hit, 6: "approved", 7: hit}
+
+
 def test_entry_imports_without_llm():
     import __spark_entry__ as entry
 
