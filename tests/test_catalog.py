@@ -35,6 +35,27 @@ def test_terms_after_any_length(spark, tmp_path):
     assert got == {0: hit, 1: vague, 2: hit, 3: hit, 4: hit, 5: hit, 6: "approved", 7: hit}
 
 
+def test_grounding_reads_whole_texts_and_all_items(spark, tmp_path):
+    words = [f"{a}{b}word" for a in "abcdefghk" for b in "lmnoprstu"]
+    items = [(k, " ".join(words[(k + i) % 81] for i in range(40))) for k in range(50)]
+    own = dict(items)
+    docs = [(3, own[3] + " in 1987"), (45, own[45]), (95, own[45][:300] + " " + own[45]), (49, " ".join(own[49].split()[:30]) + " " + " ".join(f"zz{w}" for w in words))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.item_id, r.reason) for r in catalog.QUERIES["flt_15_summary_grounding"](spark, str(tmp_path)).collect()}
+    assert got == {3: (3, "numbers"), 45: (45, "long_copy"), 95: (45, None), 49: (49, "unsupported")}
+
+
+def test_sparql_literal_of_whole_html(spark, tmp_path):
+    html = "<p>" + "x" * 300 + '"\\\n\r\t</p>'
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["str_20_sparql_literal"](spark, str(tmp_path)).first().literal
+    escaped = html
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = escaped.replace(a, b)
+    assert got == f'"{escaped}"'
+
+
 def test_entry_imports_without_llm():
     import __spark_entry__ as entry
 
