@@ -22,15 +22,41 @@ def signals(companies: DataFrame, suffixes: list[str] | None = None) -> DataFram
     )
 
 
-def candidate_pairs(signals_: DataFrame) -> DataFrame:
-    """(a, b), a < b: records that share a domain, an identifier, a name or the first six letters of one.
+def candidate_pairs(signals_: DataFrame, fuzzy: int = 92) -> DataFrame:
+    """(a, b), a < b: records that share a domain, an identifier, a name or the first six letters of one, or have similar names. No other pair can merge or need a review.
 
     Each block key is a join key and all pairs of a block are made. Blocks of more than SALT_ROWS records are cut in
     slices by id, and each two slices meet under a key of their own, so that no task makes all pairs of a large block.
     """
     prefix = F.substring(F.replace("norm_name", F.lit(" "), F.lit("")), 1, 6)
     keys = F.array_compact(F.array_union(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("d:"), "canonical"), F.concat(F.lit("n:"), "norm_name"), F.concat(F.lit("p:"), prefix)), F.transform("ids", lambda i: F.concat(F.lit("i:"), i))))
-    return _block_pairs(signals_.select("id", F.explode(F.array_distinct(keys)).alias("key")))
+    return _block_pairs(signals_.select("id", F.explode(F.array_distinct(keys)).alias("key"))).union(similar_pairs(signals_, fuzzy)).distinct()
+
+
+def similar_pairs(signals_: DataFrame, fuzzy: int = 92) -> DataFrame:
+    """(a, b), a < b: records of names with a similarity_percent of at least fuzzy, whatever else they share.
+
+    Names of n and m <= n characters are similar at an edit distance of at most k = floor(n * (100 - fuzzy) / 100), and
+    m >= n - k. The shorter name is cut in k + 1 segments; one of them is left whole and stands in the longer
+    name within k characters of its place (PassJoin). Keys are (m, n, segment, its characters). Distinct names
+    are compared once, and only those that pass are given to their records.
+    """
+    names = signals_.where("norm_name <> ''").select("norm_name").distinct().withColumn("n", F.length("norm_name"))
+    k = lambda n: F.floor(n * (100 - fuzzy) / 100).cast("int")
+    start = lambda m, n, i: F.floor(m * i / (k(n) + 1)).cast("int")
+    # a name as the shorter one, for each size that the longer may have
+    top = F.ceil(F.col("n") * 100 / fuzzy).cast("int") + 1
+    shorter = names.select(F.col("norm_name").alias("x"), F.col("n").alias("m"), F.explode(F.sequence("n", top)).alias("n")).where(k(F.col("n")) >= F.col("n") - F.col("m"))
+    shorter = shorter.select("x", "m", "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
+    shorter = shorter.select("x", "m", "n", "i", F.substr("x", start(F.col("m"), F.col("n"), F.col("i")) + 1, start(F.col("m"), F.col("n"), F.col("i") + 1) - start(F.col("m"), F.col("n"), F.col("i"))).alias("part"))
+    longer = names.select(F.col("norm_name").alias("y"), "n", F.explode(F.sequence(F.col("n") - k(F.col("n")), F.col("n"))).alias("m")).where("m > 0")
+    longer = longer.select("y", "m", "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i")).select("y", "m", "n", "i", F.explode(F.sequence(-k(F.col("n")), k(F.col("n")))).alias("o"))
+    at = start(F.col("m"), F.col("n"), F.col("i")) + F.col("o")
+    size = start(F.col("m"), F.col("n"), F.col("i") + 1) - start(F.col("m"), F.col("n"), F.col("i"))
+    longer = longer.where((at >= 0) & (at + size <= F.col("n"))).select("y", "m", "n", "i", F.substr("y", at + 1, size).alias("part")).distinct()
+    alike = shorter.join(longer, ["m", "n", "i", "part"]).select("x", "y").where("x <> y").distinct().where(text.similarity_percent(F.col("x"), F.col("y")) >= fuzzy)
+    left, right = (signals_.select(F.col("id").alias(c), F.col("norm_name").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    return alike.join(left, "x").join(right, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _block_pairs(blocks: DataFrame) -> DataFrame:

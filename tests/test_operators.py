@@ -81,6 +81,28 @@ def test_large_block_of_entities(spark):
         assert got == whole == {0: 0, **{k: first for k in (2, 700, *range(3, 602))}}
 
 
+def test_similar_names_anywhere(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choices("abcdef ", k=rnd.randint(1, 60))).strip() or "a" for _ in range(25)]
+    for t in list(names):
+        for _ in range(3):
+            c = list(t)
+            for _ in range(rnd.randint(1, 5)):
+                at = rnd.randrange(len(c)) if rnd.random() < 0.5 else 0
+                c[at : at + 1] = rnd.choice([[], ["q"], ["q", *c[at : at + 1]]])
+                c = c or ["q"]
+            names.append("".join(c))
+    s = spark.createDataFrame(list(enumerate(names)), "id long, norm_name string")
+    every = s.select(F.col("id").alias("a"), F.col("norm_name").alias("x")).join(s.select(F.col("id").alias("b"), F.col("norm_name").alias("y")), F.col("a") < F.col("b"))
+    brute = {(r.a, r.b) for r in every.where((entities.text.similarity_percent(F.col("x"), F.col("y")) >= 92) & (F.col("x") != F.col("y"))).collect()}
+    assert len(brute) > 10 and {(r.a, r.b) for r in entities.similar_pairs(s).collect()} == brute
+    rows = [(1, "qbcdefghij klmnopqr stuvw", "https://a.nl", None, []), (2, "abcdefghij klmnopqr stuvw", "https://b.nl", None, [])]
+    s = entities.signals(spark.createDataFrame(rows, "id long, name string, website_url string, canonical_url string, ids array<string>"))
+    assert [(r.outcome, r.reason) for r in entities.decided_pairs(s, entities.candidate_pairs(s)).collect()] == [("manual_review", "fuzzy_name")]
+
+
 def test_scores_add_up(spark):
     facts_ = spark.createDataFrame(
         [("e", 1, "services", "Shopify design", "explicit", 0.9, ["https://e.nl/a"]), ("e", 2, "country", "the Netherlands", "explicit", 0.9, ["https://e.nl/b"]), ("e", 3, "website_url", "https://e.nl/", "explicit", 0.9, ["https://e.nl/"]), ("e", 4, "contact_page_url", "https://e.nl/contact", "explicit", 0.9, ["https://e.nl/"])],
