@@ -54,6 +54,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_store(read_table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
+    if not token_store.verify_store(spark, path):
+        raise ValueError("the recipes read are not those of the manifest")
     return token_store.document_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 

@@ -223,14 +223,16 @@ def recipe_roots(found: DataFrame) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, path: str, kind: str = "long") -> bool:
-    """Whether the Merkle roots of the recipes as read give the manifest."""
+    """Whether the Merkle roots and sums of the recipes as read give the parts and the manifest."""
     stored = spark.read.parquet(f"{path}/manifest").first()
     now = recipe_roots(recipes(spark, path, kind)).orderBy("part").collect()
-    return merkle_root([bytes(r.root) for r in now]) == bytes(stored.root) and sum(r.n_docs for r in now) == stored.n_docs
+    parts = spark.read.schema("part int, n_docs long, n_tokens long, root binary").parquet(f"{path}/parts").orderBy("part").collect()
+    sums = (sum(r.n_docs for r in now), sum(r.n_tokens for r in now))
+    return now == parts and merkle_root([bytes(r.root) for r in now]) == bytes(stored.root) and sums == (stored.n_docs, stored.n_tokens)
 
 
 def read_ids(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """(uid, id, n_tokens, ids array<int>): documents put together again from their chunks."""
+    """(uid, id, n_tokens, ids array<int>): documents put together again from their chunks. A missing or damaged chunk ends the run with an error."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -238,11 +240,19 @@ def read_ids(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
 
         press = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(press.decompress(x), "<u2").astype("i4") for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["address", "part_ids"])
+            out = []
+            for address, n, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = press.decompress(ids)
+                if hashlib.sha256(raw).digest() != address or len(raw) != 2 * n:
+                    raise ValueError(f"chunk {address.hex()} is damaged")
+                out.append(np.frombuffer(raw, "<u2").astype("i4"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["address", "part_ids"])
 
     steps = recipes(spark, path, kind).select("uid", "id", "n_tokens", F.posexplode("chunks").alias("k", "c")).select("uid", "id", "n_tokens", "k", F.col("c.address").alias("address"))
-    bodies = chunks(spark, path).select("address", "ids").mapInArrow(opened, "address binary, part_ids array<int>")
-    return steps.join(bodies, "address").groupBy("uid", "id", "n_tokens").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part_ids"))), lambda x: x["part_ids"])).alias("ids"))
+    bodies = chunks(spark, path).mapInArrow(opened, "address binary, part_ids array<int>")
+    found = steps.join(bodies, "address", "left").groupBy("uid", "id", "n_tokens").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part_ids"))), lambda x: x["part_ids"])).alias("ids"))
+    whole = F.when(F.size("ids") == F.col("n_tokens"), F.col("ids")).otherwise(F.raise_error(F.lit("a chunk is missing")))
+    return found.select("uid", "id", "n_tokens", whole.alias("ids"))
 
 
 def document_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:

@@ -98,6 +98,32 @@ def test_token_store(spark, bpe):
     assert token_store.document_digests(spark, empty).count() == 0
 
 
+def test_lost_recipes_and_chunks_are_found(spark, monkeypatch, tmp_path):
+    from quern.llm import queries
+    from quern.llm.common import remove
+
+    def replaced(path, rows):
+        kept = spark.createDataFrame(rows.collect(), rows.schema)
+        remove(spark, path)
+        kept.write.parquet(path)
+
+    path = new_path(spark, "test-lost")
+    token_store.write_store(make(spark, ["some text", "other words"]), path, tokenizer("byte_bpe_50k.json"))
+    replaced(f"{path}/chunks", token_store.chunks(spark, path).orderBy("address").limit(1))
+    with pytest.raises(Exception, match="a chunk is missing"):
+        token_store.read_ids(spark, path).collect()
+    write = token_store.write_store
+
+    def lossy(docs, path, *more):
+        write(docs, path, *more)
+        replaced(f"{path}/recipes", token_store.recipes(spark, path).where("id <> 1"))
+
+    monkeypatch.setattr(token_store, "write_store", lossy)
+    make(spark, ["some text", "other words"]).write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(ValueError, match="manifest"):
+        queries.op8_token_store(spark, str(tmp_path))
+
+
 def test_combined_crc():
     parts = [b"", b"abc", b"\0" * 5000, b"x" * 70_001]
     assert token_store.combined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
