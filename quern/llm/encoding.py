@@ -14,8 +14,10 @@ Safe boundaries:
 from __future__ import annotations
 
 import os
+from codecs import charmap_decode
 
-MEMO_UNITS = 600_000
+#: The most entries of an encoder's memory: some 65 MB.
+MEMO_UNITS = 400_000
 MEMO_CHARS = 48
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict = {}
@@ -46,47 +48,39 @@ class BpeEncoder:
             raise ValueError("ids need more than 16 bits")
         self.bpe = self.full.model
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.letters = dict(enumerate(byte_alphabet()))
+        self.alphabet = "".join(byte_alphabet())
         self.packed = [i.to_bytes(2, "little") for i in range(65_536)]
         self.units: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        """One match of the tokenizer's pattern."""
-        got = self.runs.get(run)
-        if got is None:
-            packed = self.packed
-            got = b"".join([packed[t.id] for t in self.bpe.tokenize(run.encode().decode("latin-1").translate(self.letters))])
-            if len(run) <= MEMO_CHARS:
-                if len(self.runs) >= MEMO_UNITS:
-                    self.runs.clear()
-                self.runs[run] = got
-        return got
-
-    def _unit(self, blank: str, word: str) -> bytes:
+    def _unit(self, memo: dict, blank: str, word: str) -> bytes:
         core = word if word.isalpha() else word.rstrip(_SYMBOLS)
         if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
-            return self._run(blank + core) + (self._run(word[len(core):]) if core is not word else b"")
+            if core is not word:
+                rest = word[len(core):]
+                return (memo.get(core) or self._remembered(memo, blank, core)) + (self.first.get(rest) or self._remembered(self.first, "", rest))
+            # one match of the tokenizer's pattern
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.bpe.tokenize(charmap_decode((blank + word).encode(), "strict", self.alphabet)[0])])
         if "\n" in word:
             lines = word.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 # a lone newline between two characters that are not white space is a match of its own
-                out = [self.units.get(lines[0]) if blank else self.first.get(lines[0])]
-                out[0] = out[0] or self._remembered(self.units if blank else self.first, blank, lines[0])
+                out = [memo.get(lines[0]) or self._remembered(memo, blank, lines[0])]
                 for x in lines[1:]:
-                    out += (self._run("\n"), self.first.get(x) or self._remembered(self.first, "", x))
+                    out += (self.newline, self.first.get(x) or self._remembered(self.first, "", x))
                 return b"".join(out)
         return self._whole(blank + word)
 
     def _remembered(self, memo: dict, blank: str, word: str) -> bytes:
-        got = self._unit(blank, word)
-        if len(word) <= MEMO_CHARS:
+        got = self._unit(memo, blank, word)
+        if len(word) <= MEMO_CHARS and "\n" not in word:
             if len(memo) >= MEMO_UNITS:
                 memo.clear()
             memo[word] = got

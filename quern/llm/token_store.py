@@ -2,11 +2,12 @@
 
 A store is a folder with four tables:
 
-* `chunks`: address binary (sha256 of the ids), n_ids int, ids binary (little-endian unsigned 16-bit, compressed
-  with zstandard). Each address is stored once.
+* `chunks`: key binary (the address: sha256 of the ids), n_ids int, ids binary (little-endian unsigned 16-bit,
+  compressed with zstandard). Each address is stored once.
 * `recipes`: uid long, id, n_tokens long, chunks array<struct<address, n_ids>>, part int: in ascending order of
   id, from part to part and within a part's files.
-* `parts`: part int, n_docs long, n_tokens long, root binary: the Merkle root over the part's recipes.
+* `parts`: part int, n_docs long, n_tokens long, root binary: the Merkle root over the part's recipes, each a leaf of
+  its document's id, number of ids, and the addresses and lengths of its chunks.
 * `manifest`: n_docs long, n_tokens long, root binary: the Merkle root over the parts.
 
 Ids are cut where a rolling hash over the last 8 ids has its low bits zero, so that equal passages of different
@@ -28,6 +29,8 @@ from quern.llm.common import new_path, remove
 
 WINDOW = 8
 LEAST, MEAN_BITS, MOST = 256, 11, 8192
+#: The most addresses that a task remembers.
+SEEN = 200_000
 
 
 def _gear():
@@ -115,8 +118,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     """Encode every row's whole text, end it with id 0 and write the store at path.
 
     One pass encodes. Its rows are recipes and chunks; chunks already met by the task are left out before the
-    shuffle, so that a chunk of a third of all documents costs one row a task. Chunks are dealt by address,
-    recipes by document. A null text counts as empty: the end id alone. Rows with equal ids stay separate
+    shuffle, so that a chunk of a third of all documents costs one row a task. Chunks are dealt and sorted by
+    address, and the first of each is written; recipes are dealt by document. A null text counts as empty: the end id alone. Rows with equal ids stay separate
     documents, next to each other in the order they are read. An empty table gives an empty store.
     """
     spark = docs.sparkSession
@@ -131,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
 
         encoder, gear, press = loaded(tokenizer_path), _gear(), zstandard.ZstdCompressor(level=1, write_content_size=True)
         uid, seen = TaskContext.get().partitionId() << 36, set()
-        names = ["kind", "uid", "id", "address", "n_ids", "ids", "chunks"]
+        names = ["kind", "key", "uid", "id", "n_ids", "ids", "chunks"]
         pair = pa.list_(pa.struct([("address", pa.binary()), ("n_ids", pa.int32())]))
         for b in batches:
             id_type, step = b.schema.types[0], 256
@@ -150,40 +153,32 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                         recipe.append({"address": address, "n_ids": end - at})
                         if address not in seen:
                             seen.add(address)
-                            for column, v in zip(rows, ("chunk", None, None, address, end - at, press.compress(raw), None)):
+                            for column, v in zip(rows, ("chunk", address, None, None, end - at, press.compress(raw), None)):
                                 column.append(v)
                         at = end
-                    for column, v in zip(rows, ("recipe", uid, doc, None, None, None, recipe)):
+                    for column, v in zip(rows, ("recipe", uid.to_bytes(8, "big"), uid, doc, None, None, recipe)):
                         column.append(v)
                     uid += 1
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
-                types = [pa.string(), pa.int64(), id_type, pa.binary(), pa.int32(), pa.binary(), pair]
+                types = [pa.string(), pa.binary(), pa.int64(), id_type, pa.int32(), pa.binary(), pair]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drop a chunk that equals the row before; rows come sorted by address."""
-        last = None
-        for b in batches:
-            keep = []
-            for address in b.column(3).to_pylist():
-                keep.append(address is None or address != last)
-                last = address
-            yield b.filter(pa.array(keep))
-
-    schema = f"kind string, uid long, id {kind}, address binary, n_ids int, ids binary, chunks array<struct<address: binary, n_ids: int>>"
+    schema = f"kind string, key binary, uid long, id {kind}, n_ids int, ids binary, chunks array<struct<address: binary, n_ids: int>>"
     staged = new_path(spark, "store")
+    # one sort by (kind, key): it parts equal chunks, and the write by kind needs no other
+    place = F.row_number().over(Window.partitionBy("kind", "key").orderBy("n_ids"))
     (
         docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
-        .repartition(F.xxhash64(F.coalesce("address", F.col("uid").cast("string").cast("binary"))))
-        .sortWithinPartitions("address").mapInArrow(unique, schema)
+        # not `place = 1`, for which Spark would sort the tasks' own rows, too
+        .withColumn("place", place).where(F.col("place") - 1 == 0).drop("place")
         .write.partitionBy("kind").option("compression", "uncompressed").parquet(staged)
     )
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
-    chunks_schema = "address binary, n_ids int, ids binary"
+    chunks_schema = "key binary, n_ids int, ids binary"
     made = jvm.org.apache.hadoop.fs.Path(f"{staged}/kind=chunk")
     if not fs.exists(made):
         spark.createDataFrame([], chunks_schema).write.parquet(f"{path}/chunks")
@@ -208,12 +203,14 @@ def recipes(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("address binary, n_ids int, ids binary").parquet(f"{path}/chunks")
+    return spark.read.schema("key binary, n_ids int, ids binary").parquet(f"{path}/chunks").select(F.col("key").alias("address"), "n_ids", "ids")
 
 
 def recipe_roots(found: DataFrame) -> DataFrame:
     """(part, n_docs, n_tokens, root): each recipe is a leaf; rows of a part are read in ascending order of document."""
-    leaf = F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string").cast("binary"), F.lit(b"")), F.lit(b":"), F.aggregate("chunks", F.lit(b""), lambda a, c: F.concat(a, c["address"]))), 256))
+    number = lambda c: F.concat(F.lit(b":"), c.cast("string").cast("binary"))
+    steps = F.aggregate("chunks", F.lit(b""), lambda a, c: F.concat(a, F.lit(b":"), c["address"], number(c["n_ids"])))
+    leaf = F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string").cast("binary"), F.lit(b"")), number(F.col("n_tokens")), steps), 256))
 
     def roots(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("uid", "ascending")])
@@ -258,9 +255,10 @@ def read_ids(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
 def document_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    Every stored chunk is opened, held against its address and summed up as the crc32 of its ids in 32 bits;
-    a document's crc32 is put together from those of its chunks, so that no ids are shuffled. A chunk that does
-    not give its address, or is missing, ends the run with an error.
+    Every stored chunk is opened, held against its address, counted and summed up as the crc32 of its ids in 32
+    bits; a document's count and crc32 are put together from those of the chunks as opened, so that no ids are
+    shuffled. A chunk that does not give its address, a missing one, and a count other than the recipe's end the
+    run with an error. Hold the recipes against the manifest first (verify_store): `start` sums their counts.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,28 +267,33 @@ def document_digests(spark: SparkSession, path: str, kind: str = "long") -> Data
 
         press = zstandard.ZstdDecompressor()
         for b in batches:
-            crcs = []
-            for address, n, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+            crcs, counts = [], []
+            for address, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 raw = press.decompress(ids)
-                if hashlib.sha256(raw).digest() != address or len(raw) != 2 * n:
+                if hashlib.sha256(raw).digest() != address:
                     raise ValueError(f"chunk {address.hex()} is damaged")
                 crcs.append(zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["address", "crc"])
+                counts.append(len(raw) // 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["address", "crc", "n"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for steps in b.column(3).to_pylist():
+            counts, crcs = [], []
+            for stated, steps in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if any(s["crc"] is None for s in steps):
                     raise ValueError("a chunk is missing")
-                out.append(combined_crc([(s["crc"], 4 * s["n_ids"]) for s in steps]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], names=["uid", "id", "n_tokens", "ids_crc32"])
+                counts.append(sum(s["n"] for s in steps))
+                if counts[-1] != stated:
+                    raise ValueError("a recipe's number of ids is not that of its chunks")
+                crcs.append(combined_crc([(s["crc"], 4 * s["n"]) for s in steps]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["uid", "id", "n_tokens", "ids_crc32"])
 
     found = recipes(spark, path, kind)
-    sums = chunks(spark, path).mapInArrow(opened, "address binary, crc long")
-    steps = found.select("uid", "id", "n_tokens", F.posexplode("chunks").alias("k", "c")).select("uid", "id", "n_tokens", "k", F.col("c.address").alias("address"), F.col("c.n_ids").alias("n_ids"))
-    docs = steps.join(sums, "address", "left").groupBy("uid", "id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "n_ids", "crc"))).alias("steps"))
+    sums = chunks(spark, path).mapInArrow(opened, "address binary, crc long, n long")
+    steps = found.select("uid", "id", "n_tokens", F.posexplode("chunks").alias("k", "c")).select("uid", "id", "n_tokens", "k", F.col("c.address").alias("address"))
+    docs = steps.join(sums, "address", "left").groupBy("uid", "id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc"))).alias("steps"))
     crcs = docs.select("uid", "id", "n_tokens", "steps").mapInArrow(whole, f"uid long, id {kind}, n_tokens long, ids_crc32 long")
+    # one row for each part of the recipes, so their running sum is one task's work, and small enough to broadcast
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     parts = spark.read.schema("part int, n_docs long, n_tokens long, root binary").parquet(f"{path}/parts").select("part", before)
     within = Window.partitionBy("part").orderBy("id", "uid").rowsBetween(Window.unboundedPreceding, -1)
