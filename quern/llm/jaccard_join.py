@@ -2,16 +2,22 @@
 
 The search in four steps, each exact:
 
-1. Sets. Every document's shingles are hashed; equal sets are one class, so copies cost nothing further. A sketch of
-   fixed size sums up how often shingles occur (counts by hash bucket, over all documents).
+1. Sets. Every document's shingles are hashed; equal sets are one class, so copies cost nothing further. The same pass
+   makes a sketch, sized by the number of rows, of how often shingles occur (counts by hash bucket, over all documents).
 2. Lists. Sets are ordered by (bucket's frequency, hash). Two sets that reach the threshold share a shingle among
    the first n - ceil(t n) + 1 of each, so only those go into inverted lists. Short lists (up to SHORT classes) give
-   pairs, counted; a pair whose count can't reach the needed overlap is gone. A long list gives its classes only.
-3. Blocks. Classes of surviving pairs meet in small blocks; classes of long lists meet in blocks by size, each with
-   the blocks of sizes that the threshold allows.
+   pairs, counted; a pair whose count can't reach the needed overlap is gone. Long lists stay lists.
+3. Blocks. Classes of surviving pairs meet in small blocks. Classes that long lists connect are one family, and only
+   classes of one family can link; a family of up to BLOCK_CLASSES meets in one block.
 4. Search. In a block, each set looks up its own inverted lists: short lists are merged and counted, long ones only
    probed for the candidates left (DivideSkip), and classes reaching the overlap that their sizes ask for are links.
 
+A larger family is dealt over blocks. The groups that links make within a block send their leaders to further rounds,
+until they meet in one block or no longer get fewer. What is then in the largest group of its family needs no more
+comparisons with the rest of that group; every other class of the family meets all of it, in blocks by size. So a
+family of k near copies costs about k comparisons with the leaders, and only classes that share their frequent
+shingles without linking are compared all with all.
+
 Links within a block become a spanning forest, and connected components unite them over blocks.
 """
 
@@ -31,41 +37,58 @@ from quern.llm.shingles import set_id, shingle_set
 
 #: Lists of more classes than this are long.
 SHORT = 64
-BUCKETS = 1 << 20
-BUCKET_SHIFT = np.uint64(64 - 20)
-BLOOM_BITS = 1 << 24
+#: log2 of the sketch's buckets: SPREAD more than that of the rows, in these bounds. The upper one is a worker's memory.
+SPREAD, LEAST_BITS, MOST_BITS = 2, 16, 22
+#: The same for the bits of the filter of wanted classes.
+BLOOM_SPREAD, LEAST_BLOOM, MOST_BLOOM = 6, 16, 27
 PAIRS_PER_BLOCK = 4_000
-CLASSES_PER_BLOCK = 1_500
-#: A shingle whose bucket counts this many times the mean is dealt over SALTS lists, which meet again if short.
-HEAVY, SALTS = 8, 64
+#: The most classes, and about the most shingles, that meet in a block.
+BLOCK_CLASSES, BLOCK_SHINGLES = 600, 1_000_000
+#: Lists of a bucket that counts this many times the mean, and at least LEAST_HEAVY, are long without being looked at.
+HEAVY, LEAST_HEAVY = 8, 8_192
+#: About so many rows of lists are sorted by a task.
+ROWS_PER_TASK = 250_000
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
 PARTS = 16
+#: Arrays of tasks are folded in so many groups first, then those.
+FOLD_GROUPS = 32
 
 
-def folded(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], how: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, dtype: str) -> np.ndarray:
-    """An array of fixed size from all rows: each task's array, cut in PARTS and folded together on executors."""
+def _in_parts(whole: np.ndarray) -> list[bytes]:
+    return [zlib.compress(x.tobytes(), 1) for x in np.split(whole, PARTS)]
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = partial(batches)
-        if whole.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(whole, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "body"])
+
+def folded(parts: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, dtype: str) -> np.ndarray:
+    """An array of fixed size from (part int, task int, body binary): each task's array, cut in PARTS. They are
+    folded together on executors in two levels, so that no task reads the arrays of all others."""
 
     def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            for body in b.column(1):
+            for body in b.column(2):
                 one = np.frombuffer(zlib.decompress(body.as_py()), dtype)
                 total = one if total is None else how(total, one)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "task", "body"])
 
+    schema = "part int, task int, body binary"
+    some = parts.select("part", (F.col("task") % FOLD_GROUPS).alias("task"), "body").groupBy("part", "task").applyInArrow(fold, schema)
     out = np.zeros(size, dtype)
-    for r in df.mapInArrow(run, "part int, body binary").groupBy("part").applyInArrow(fold, "part int, body binary").collect():  # PARTS rows
+    for r in some.groupBy("part").applyInArrow(fold, schema).collect():  # PARTS rows
         out[r.part * size // PARTS : (r.part + 1) * size // PARTS] = np.frombuffer(zlib.decompress(bytes(r.body)), dtype)
     return out
 
 
+def _bits_for(n: int, spread: int, least: int, most: int) -> int:
+    return max(least, min(most, max(1, n).bit_length() + spread))
+
+
 def least_overlap(nx, ny, percent: int):
     """The smallest intersection of sets of these sizes with 100 * intersection >= percent * union."""
     return -(-percent * (nx + ny) // (100 + percent))
@@ -130,9 +153,9 @@ def links_among(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Edges enough to connect what the pairs connect."""
-    up, out = list(range(n)), []
+def leaders(pairs: list[tuple[int, int]], n: int) -> list[int]:
+    """For each of n places the first place of its group, where pairs connect places."""
+    up = list(range(n))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -142,239 +165,270 @@ def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
     for a, b in pairs:
         a, b = root(a), root(b)
-        if a != b:
-            up[b] = a
-            out.append((a, b))
-    return out
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
 
 
-def _sets_of(docs: DataFrame, kind: str, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ids = [], []
-            for text in b.column(1).cast(pa.binary()):
-                s = shingle_set(text.as_py(), width)
-                n.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "class", "n"])
-
-    return docs.mapInArrow(run, f"id {kind}, class long, n long")
-
+def _sets_of(docs: DataFrame, kind: str, width: int, bits: int) -> DataFrame:
+    """(id, class, n, null, null, null) of every row, and the parts of each task's counts of shingles by bucket, without ids."""
+    names = ["id", "class", "n", "part", "task", "body"]
 
-def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(BUCKETS, np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, shift, id_type = np.zeros(1 << bits, np.uint32), np.uint64(64 - bits), None
         for b in batches:
+            id_type = b.schema.types[0]
             for i in range(0, b.num_rows, 300):
-                made = [shingle_set(t.as_py(), width) for t in b.column(1).slice(i, 300).cast(pa.binary())]
-                at, n = np.unique(np.concatenate(made) >> BUCKET_SHIFT, return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.uint32)
-        return total
+                some = b.slice(i, 300)
+                made = [shingle_set(t.as_py(), width) for t in some.column(1).cast(pa.binary())]
+                at, k = np.unique(np.concatenate(made) >> shift, return_counts=True)
+                counts[at.astype(np.int64)] += k.astype(np.uint32)
+                classes = pa.array([set_id(s) if len(s) else None for s in made], pa.int64())
+                empty = [pa.nulls(len(made), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), classes, pa.array(map(len, made), pa.int64()), *empty], names=names)
+        if counts.any():
+            absent = [pa.nulls(PARTS, t) for t in (id_type, pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*absent, pa.array(range(PARTS), pa.int32()), pa.array([_task()] * PARTS, pa.int32()), pa.array(_in_parts(counts), pa.binary())], names=names)
 
-    return folded(docs, partial, lambda a, b: np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32), BUCKETS, "u4")
+    return docs.mapInArrow(run, f"id {kind}, class long, n long, part int, task int, body binary")
 
 
-LISTED = "list long, class long, n long, salt int, hot boolean"
-FOUND = "kind string, a long, b long, na long, nb long"
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, rank: bytes, heavy: bytes, percent: int, width: int) -> DataFrame:
-    """Rows of the inverted lists: the first shingles of each set, once a task for equal sets."""
+    """Rows of the inverted lists: the first shingles of each set, once a task for equal sets. n is negative for lists of heavy buckets."""
+    shift = np.uint64(64 - (len(rank).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, is_heavy, seen = np.frombuffer(rank, np.uint8), np.frombuffer(heavy, np.bool_), set()
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                out: list[tuple] = []
+                lists, classes, sizes, k = [], [], [], []
                 for t in b.column(1).slice(i, 200).cast(pa.binary()):
                     s = shingle_set(t.as_py(), width)
                     if not len(s) or (c := set_id(s)) in seen:
                         continue
                     seen.add(c)
-                    bucket = (s >> BUCKET_SHIFT).astype(np.int64)
+                    bucket = (s >> shift).astype(np.int64)
                     first = np.lexsort((s, ranks[bucket]))[: prefix_size(len(s), percent)]
-                    out.append((s[first].view(np.int64), c, len(s), np.where(is_heavy[bucket[first]], c % SALTS, -1)))
-                if out:
-                    k = [len(o[0]) for o in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([o[0] for o in out])), pa.array(np.repeat([o[1] for o in out], k)), pa.array(np.repeat([o[2] for o in out], k)), pa.array(np.concatenate([o[3] for o in out]).astype(np.int32)), pa.nulls(sum(k), pa.bool_())],
-                        names=["list", "class", "n", "salt", "hot"],
-                    )
+                    lists.append(s[first].view(np.int64))
+                    classes.append(c)
+                    sizes.append(np.where(is_heavy[bucket[first]], -len(s), len(s)).astype(np.int32))
+                    k.append(len(first))
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(classes, k)), pa.array(np.concatenate(sizes))], names=["list", "class", "n"])
+
+    return docs.mapInArrow(run, "list long, class long, n int")
 
-    return docs.mapInArrow(run, LISTED)
+
+#: A pair of classes with their sizes; or, with nb null, a class `a` of the long list `b`.
+FOUND = "a long, b long, na int, nb int"
 
 
 def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams lists, sorted by (list, salt, hot first, class), with at most SHORT classes in memory."""
+    """Streams lists, sorted by (list, class): a batch of rows and at most SHORT classes of the list before it are in memory."""
+    triangles: dict[int, tuple] = {}
+
+    def long_rows(lists: np.ndarray, classes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(lists), pa.array(np.abs(n)), pa.nulls(len(n), pa.int32())], names=["a", "b", "na", "nb"])
+
+    def whole(lists: np.ndarray, classes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What lists give that have no further rows."""
+        first = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+        k = np.diff(np.append(first, len(lists)))
+        of_long = np.repeat(k > SHORT, k)
+        if of_long.any():
+            yield long_rows(lists[of_long], classes[of_long], n[of_long])
+        for size in np.unique(k[(k > 1) & (k <= SHORT)]):
+            if size not in triangles:
+                triangles[size] = np.triu_indices(size, 1)
+            i, j = triangles[size]
+            rows = first[k == size][:, None]
+            x, y = (rows + i).ravel(), (rows + j).ravel()
+            fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
+            x, y = x[fits], y[fits]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(classes[x]), pa.array(classes[y]), pa.array(n[x]), pa.array(n[y])], names=["a", "b", "na", "nb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triangle: dict[int, tuple] = {}
-        held: list[tuple] = []  # arrays (class, n) of the list that may go on
-        key, long_ = None, False
-        out: list[tuple] = []
-
-        def hot(classes, n) -> None:
-            out.append(("hot", classes, None, n, None))
-
-        def close() -> None:
-            nonlocal long_
-            if held:
-                c, n = (np.concatenate(x) for x in zip(*held))
-                c, at = np.unique(c, return_index=True)
-                n = n[at]
-                if len(c) > SHORT or long_:
-                    hot(c, n)
-                    if key[1] >= 0 and not long_:
-                        out.append(("mark", np.array([key[0]]), None, np.array([0]), None))
-                elif key[1] >= 0:
-                    out.append(("edge", np.full(len(c), key[0]), c, n, None))
-                elif len(c) > 1:
-                    if len(c) not in triangle:
-                        triangle[len(c)] = np.triu_indices(len(c), 1)
-                    i, j = triangle[len(c)]
-                    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                    i, j = i[fits], j[fits]
-                    if len(i):
-                        out.append(("pair", c[i], c[j], n[i], n[j]))
-            held.clear()
-            long_ = False
-
-        def batch() -> pa.RecordBatch:
-            parts = [(pa.array([k] * len(a)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(na), pa.nulls(len(a), pa.int64()) if nb is None else pa.array(nb)) for k, a, b, na, nb in out]
-            made = pa.RecordBatch.from_arrays([pa.concat_arrays([p[i] for p in parts]) for i in range(5)], names=["kind", "a", "b", "na", "nb"])
-            out.clear()
-            return made
-
+        held, known_long = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32)), None
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists, classes, n, salt = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            hots = b.column(4).fill_null(False).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((lists[1:] != lists[:-1]) | (salt[1:] != salt[:-1])) + 1
-            starts, ends = np.concatenate(([0], change)), np.append(change, len(lists))
-            # lists of one row that begin and end within the batch give nothing, unless dealt by salt or hot
-            keep = (ends - starts > 1) | (salt[starts] >= 0) | hots[starts]
-            keep[[0, -1]] = True
-            for s, e in zip(starts[keep], ends[keep]):
-                if (lists[s], salt[s]) != key:
-                    close()
-                    key = (lists[s], salt[s])
-                if hots[s]:
-                    long_ = True
-                    s += np.count_nonzero(hots[s:e])  # marks stand first
-                if s < e:
-                    held.append((classes[s:e], n[s:e]))
-                if sum(len(h[0]) for h in held) > SHORT:
-                    c = np.unique(np.concatenate([h[0] for h in held]))
-                    if len(c) > SHORT or long_:
-                        if key[1] >= 0 and not long_:
-                            out.append(("mark", np.array([key[0]]), None, np.array([0]), None))
-                        long_ = True
-                        for h in held:
-                            hot(*h)
-                        held.clear()
-            if sum(len(o[1]) for o in out) > 20_000:
-                yield batch()
-        close()
-        if out:
-            yield batch()
+            rows = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+            heavy = rows[2] < 0
+            if heavy.any():
+                yield long_rows(*(x[heavy] for x in rows))
+                rows = tuple(x[~heavy] for x in rows)
+            rows = tuple(np.concatenate(x) for x in zip(held, rows))
+            fresh = np.ones(len(rows[0]), bool)  # a class comes once from each task that met it
+            fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            more = rows[0] == known_long if known_long is not None else np.zeros(len(fresh), bool)
+            if (more & fresh).any():
+                yield long_rows(*(x[more & fresh] for x in rows))
+            rows = tuple(x[fresh & ~more] for x in rows)
+            held = rows
+            if len(rows[0]):
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    yield from whole(*(x[:last] for x in rows))
+                held = tuple(x[last:] for x in rows)
+                known_long = None
+                if len(held[0]) > SHORT:
+                    yield long_rows(*held)
+                    known_long = held[0][0]
+                    held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield from whole(*held)
 
     return run
 
 
-def _candidates(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes that may reach the threshold, classes of long lists)."""
-    counts = _frequencies(docs, width)
-    mean = max(1.0, float(counts.mean()))
-    rank = np.minimum(255, np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes()
-    heavy = (counts > max(HEAVY * mean, 2 * SHORT * SALTS)).tobytes()
+def _candidates(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes that may reach the threshold: a, b, n; classes of long lists: class, n, family)."""
+    rank = np.minimum(255, 4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes()
+    heavy = (counts > max(HEAVY * float(counts.mean()), LEAST_HEAVY)).tobytes()
     rows = _prefixes(docs, rank, heavy, percent, width)
-    order = ["list", "salt", F.desc_nulls_last("hot"), "class"]
-    found = saved(rows.repartition("list", "salt").sortWithinPartitions(*order).mapInArrow(_lists(percent), FOUND), "lists")
-    edges = found.where("kind in ('edge', 'mark')").select(F.col("a").alias("list"), F.coalesce("b", F.lit(0)).alias("class"), F.col("na").alias("n"), F.lit(-1).alias("salt"), F.when(F.col("kind") == "mark", True).alias("hot"))
-    late = saved(edges.repartition("list").sortWithinPartitions(*order).mapInArrow(_lists(percent), FOUND), "late-lists")
-    both = found.unionByName(late)
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_PER_TASK))
+    dealt = rows.repartition(tasks, F.when(F.col("n") < 0, F.col("class")).otherwise(F.col("list")))
+    found = saved(dealt.sortWithinPartitions("list", "class").mapInArrow(_lists(percent), FOUND), "lists")
     share = lambda n: F.ceil(n * percent / 100)
-    shared = both.where("kind = 'pair'").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    shared = found.where("nb is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     reach = F.col("shared") + F.greatest(share(F.col("na")), share(F.col("nb"))) - 1 >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = saved(shared.where(reach).select("a", "b"), "pairs")
-    hot = saved(both.where("kind = 'hot'").groupBy(F.col("a").alias("class")).agg(F.max("na").alias("n")), "hot")
-    return pairs, hot
+    pairs = saved(shared.where(reach).select("a", "b", (F.col("na") + F.col("nb")).alias("n")), "pairs")
+    long_ = found.where("nb is null").select(F.col("a").alias("class"), F.col("b").alias("list"), F.col("na").alias("n"))
+    first = long_.groupBy("list").agg(F.min("class").alias("first"))
+    # each class of a list hangs on the list's first: one edge for all the lists that two classes share
+    edges = saved(long_.join(first, "list").groupBy("class", "first").agg(F.max("n").alias("n")), "long-lists")
+    named = connected_components(edges.select(F.col("class").alias("src"), F.col("first").alias("dst")))
+    sizes = edges.groupBy("class").agg(F.max("n").alias("n"))
+    # a class alone in its lists has no partner there
+    families = saved(sizes.join(named, F.col("class") == F.col("node")).select("class", "n", F.col("component").alias("family")), "families")
+    return pairs, families
 
 
-def _bits(c: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([(c.view(np.uint64) >> np.uint64(s)).astype(np.int64) & (BLOOM_BITS - 1) for s in (0, 24)]))
+def _bits(c: np.ndarray, bits: int) -> np.ndarray:
+    return np.unique(np.concatenate([(c.view(np.uint64) >> np.uint64(s)).astype(np.int64) & ((1 << bits) - 1) for s in (0, 30)]))
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, body): the sets of the wanted classes. A filter of BLOOM_BITS keeps others from the shuffle; some pass it."""
+    """(class, body): the sets of the wanted classes, each once a task. A filter keeps others from the shuffle; some pass it."""
+    bits = _bits_for(wanted.count(), BLOOM_SPREAD, LEAST_BLOOM, MOST_BLOOM)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            at = _bits(b.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return bits
+            at = _bits(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_task()] * PARTS, pa.int32()), pa.array(_in_parts(found), pa.binary())], names=["part", "task", "body"])
 
-    bloom = folded(wanted.select("class"), partial, np.bitwise_or, BLOOM_BITS // 8, "u1").tobytes()
+    parts = wanted.select("class").mapInArrow(marked, "part int, task int, body binary")
+    bloom = zlib.compress(folded(parts, np.bitwise_or, (1 << bits) // 8, "u1").tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(bloom, np.uint8), set()
+        found, seen = np.frombuffer(zlib.decompress(bloom), np.uint8), set()
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 ids, bodies = [], []
                 for t in b.column(1).slice(i, 200).cast(pa.binary()):
                     s = shingle_set(t.as_py(), width)
                     if len(s) and (c := set_id(s)) not in seen:
-                        at = _bits(np.array([c]))
-                        if (bits[at >> 3] >> (at & 7) & 1).all():
+                        at = _bits(np.array([c]), bits)
+                        if (found[at >> 3] >> (at & 7) & 1).all():
                             seen.add(c)
                             ids.append(c)
                             bodies.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["class", "body"])
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["class", "body"])
 
     return docs.mapInArrow(run, "class long, body binary")
 
 
+def _searched(docs: DataFrame, blocks: DataFrame, percent: int, width: int) -> DataFrame:
+    """(block, leader, class) of every class of every block: the first class of its group of links there."""
+
+    def search(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("class")
+        ids = t.column("class").to_numpy()
+        first = np.unique(ids, return_index=True)[1]  # a class comes once from each task that met it
+        bodies = t.column("body")
+        sets = [np.frombuffer(bodies[int(i)].as_py(), np.uint64) for i in first]
+        group = leaders(links_among(sets, percent), len(sets))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(sets), pa.int64()), "leader": pa.array(ids[first][group]), "class": pa.array(ids[first])})
+
+    sets = _wanted_sets(docs, blocks.select("class").distinct(), width)
+    return saved(blocks.join(sets, "class").groupBy("block").applyInArrow(search, "block long, leader long, class long"), "searched")
+
+
 def _size_class(n: Column) -> Column:
     """Sets of which one is at most 4/3 of the other lie in the same or in neighbouring classes."""
     return F.floor(F.log(n.cast("double")) / math.log(1.34)).cast("int")
 
 
-def _blocks(pairs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """(block, class): where classes meet. Every pair of `pairs` meets, and all of `hot` whose sizes allow a link."""
-    if percent < 75:
-        raise ValueError("size classes are made for 75 % and more")
-    n_blocks = pairs.count() // PAIRS_PER_BLOCK + 1
-    at = F.concat(F.lit("p"), F.pmod(F.xxhash64("a"), F.lit(n_blocks)))
-    met = pairs.select(at.alias("block"), F.explode(F.array("a", "b")).alias("class"))
-    sized = hot.withColumn("c", _size_class(F.col("n")))
-    per = {r.c: -(-r.k // CLASSES_PER_BLOCK) for r in sized.groupBy("c").agg(F.count("*").alias("k")).collect()}  # one row for each order of size
-    if not per:
-        return met.distinct()
-    wide = F.create_map(*[F.lit(x) for c, m in per.items() for x in (c, m)])
-    c, i = F.col("c"), F.pmod(F.xxhash64("class"), wide[F.col("c")]).cast("int")
-    upto = lambda m: F.when(m.isNotNull(), F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda a, p, b, q: F.concat_ws("-", F.lit("h"), a, p, b, q)
-    own = F.transform(upto(wide[c]), lambda j: name(c, F.least(i, j), c, F.greatest(i, j)))
-    above = F.transform(upto(wide[c + 1]), lambda j: name(c, i, c + 1, j))
-    below = F.transform(upto(wide[c - 1]), lambda j: name(c - 1, j, c, i))
-    return met.union(sized.select(F.explode(F.concat(own, above, below)), "class")).distinct()
-
-
-def links(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(src, dst) classes: enough links to connect all that reach the threshold. docs has id and text."""
-    pairs, hot = _candidates(docs, percent, width)
-    blocks = saved(_blocks(pairs, hot, percent), "blocks")
-    sets = _wanted_sets(docs, blocks, width).dropDuplicates(["class"])
+def _blocks_needed(classes: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(classes / BLOCK_CLASSES, shingles / BLOCK_SHINGLES)).cast("int")
 
-    def search(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t.column("class").to_pylist()
-        sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("body")]
-        found = forest(links_among(sets_, percent), len(ids))
-        return pa.table({"src": pa.array([ids[a] for a, _ in found], pa.int64()), "dst": pa.array([ids[b] for _, b in found], pa.int64())})
 
-    return blocks.join(sets, "class").groupBy("block").applyInArrow(search, "src long, dst long")
+def _dealt(members: DataFrame, turn: int) -> DataFrame:
+    """members (family, class, n) with m, the number of blocks of the family, and the class's block."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    needed = sizes.select("family", _blocks_needed(F.col("k"), F.col("s")).alias("m"))
+    place = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("m"))
+    return members.join(needed, "family").withColumn("block", F.xxhash64("family", place, F.lit(turn)))
+
+
+def _rest_blocks(rest: DataFrame, members: DataFrame) -> DataFrame:
+    """(block, class) in which each class of `rest` meets all classes of its family of sizes that allow a link."""
+
+    def packed(some: DataFrame, m: str, at: str) -> tuple[DataFrame, DataFrame]:
+        sized = some.select("family", "class", "n", _size_class(F.col("n")).alias("c"))
+        needed = sized.groupBy("family", "c").agg(_blocks_needed(F.count("*") * 2, F.sum("n") * 2).alias(m))
+        return sized.join(needed, ["family", "c"]).withColumn(at, F.pmod(F.xxhash64("class"), F.col(m)).cast("int")).drop(m), needed
+
+    left, left_needed = packed(rest, "m", "i")
+    right, right_needed = packed(members, "m", "j")
+    near = F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))
+    name = F.xxhash64("family", "lc", "i", "rc", "j").alias("block")
+    asked = left.withColumn("rc", near).withColumnRenamed("c", "lc").join(right_needed.withColumnRenamed("c", "rc"), ["family", "rc"])
+    asked = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(name, "class")
+    given = right.withColumn("lc", near).withColumnRenamed("c", "rc").join(left_needed.withColumnRenamed("c", "lc"), ["family", "lc"])
+    given = given.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(name, "class")
+    return asked.union(given).distinct()
+
+
+def links(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width: int) -> DataFrame:
+    """(src, dst) classes: enough links to connect all that reach the threshold. docs has id and text; n_rows: of the lists, about."""
+    if percent < 75:
+        raise ValueError("size classes are made for 75 % and more")
+    pairs, families = _candidates(docs, counts, n_rows, percent, width)
+    total = pairs.agg(F.count("*").alias("k"), F.sum("n").alias("s")).first()
+    n_blocks = max(total.k // PAIRS_PER_BLOCK, (total.s or 0) // (2 * BLOCK_SHINGLES)) + 1
+    met = pairs.select(F.pmod(F.xxhash64("a"), F.lit(n_blocks)).alias("block"), F.explode(F.array("a", "b")).alias("class"))
+    dealt = saved(_dealt(families, 0), "dealt")
+    blocks = saved(met.union(dealt.select("block", "class")).distinct(), "blocks")
+    searched = _searched(docs, blocks, percent, width)
+    edges = searched.select(F.col("leader").alias("src"), F.col("class").alias("dst"))
+    large, members, turn = dealt.where("m > 1").select("family", "class", "n"), dealt, 0
+    many, before = members.where("m > 1").count(), None
+    while many and (before is None or 2 * many <= before):
+        # the leaders of the blocks of large families meet in fewer blocks
+        first = searched.where("leader = class").select("block", "class")
+        turn += 1
+        members = saved(_dealt(members.where("m > 1").join(first, ["block", "class"]).select("family", "class", "n"), turn), "leaders")
+        searched = _searched(docs, members.select("block", "class"), percent, width)
+        edges = edges.union(searched.select(F.col("leader").alias("src"), F.col("class").alias("dst")))
+        before, many = many, members.where("m > 1").count()
+    if turn:
+        united = saved(connected_components(edges), "groups")
+        named = large.join(united, F.col("class") == F.col("node"), "left").select("family", "class", "n", F.coalesce("component", "class").alias("g"))
+        largest = named.groupBy("family", "g").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "g"))["g"].alias("most"))
+        rest = saved(named.join(largest, "family").where("g <> most").select("family", "class", "n"), "rest")
+        if not rest.isEmpty():
+            others = large.join(rest.select("family").distinct(), "family", "left_semi")
+            more = _searched(docs, saved(_rest_blocks(rest, others), "rest-blocks"), percent, width)
+            edges = edges.union(more.select(F.col("leader").alias("src"), F.col("class").alias("dst")))
+    return edges.where("src <> dst")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,8 +442,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = saved(_sets_of(own, kind, width), "sets")
-    united = saved(connected_components(links(own, percent, width)), "united")
+    bits = _bits_for(own.count(), SPREAD, LEAST_BITS, MOST_BITS)
+    made = saved(_sets_of(own, kind, width, bits), "sets")
+    counts = folded(made.where("part is not null").select("part", "task", "body"), _added, 1 << bits, "u4")
+    sets = made.where("part is null").select("id", "class", "n")
+    n_rows = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0]
+    united = saved(connected_components(links(own, counts, int(n_rows or 0), percent, width)), "united")
     first = sets.where("class is not null").groupBy("class").agg(F.min("id").alias("first"))
     named = first.join(united, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))

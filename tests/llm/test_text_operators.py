@@ -209,7 +209,7 @@ def brute_jaccard(docs):
 @pytest.mark.parametrize("short", [2, 64])
 def test_jaccard_join(spark, monkeypatch, short):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
-    monkeypatch.setattr(jaccard_join, "CLASSES_PER_BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 7)
     monkeypatch.setattr(jaccard_join, "PAIRS_PER_BLOCK", 5)
     rng = np.random.Generator(np.random.PCG64(5))
     base = [[f"w{k}" for k in rng.integers(0, 500, 60)] for _ in range(6)]
@@ -232,12 +232,34 @@ def test_jaccard_join_of_nothing(spark):
 def test_heavy_lists_meet_again(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAVY", 0)
     monkeypatch.setattr(jaccard_join, "SHORT", 3)
-    monkeypatch.setattr(jaccard_join, "SALTS", 1)
+    monkeypatch.setattr(jaccard_join, "LEAST_HEAVY", 0)
     texts = [("common words that all of these share in a row " * 3) + f"tail {i} {i % 3} end" for i in range(20)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(make(spark, texts)).collect()}
     assert got == brute_jaccard(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("heavy", [0, 8])
+def test_large_families(spark, monkeypatch, heavy):
+    """Chains of texts that drift apart: neighbours link, others only share frequent shingles; families of many blocks."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard_join, "LEAST_HEAVY", 0 if heavy == 0 else 8_192)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 4)
+    rng = np.random.Generator(np.random.PCG64(11))
+    common = [f"c{k}" for k in range(30)]
+    texts = []
+    for chain in range(5):
+        w = common + [f"w{chain}.{k}" for k in range(30)]
+        for step in range(14):
+            texts.append(" ".join(w))
+            for _ in range(int(rng.integers(1, 4))):
+                w[int(rng.integers(0, 60))] = f"n{rng.integers(0, 30)}"
+    texts += [" ".join(common[: int(n)]) for n in rng.integers(5, 30, 30)]
+    expected = brute_jaccard(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(make(spark, texts)).collect()}
+    assert got == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 100), (300, 300), (100, 150), (None, 4)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
