@@ -7,7 +7,7 @@ The search in four steps, each exact:
 2. Lists. Sets are ordered by (bucket's frequency, hash). Two sets that reach the threshold share a shingle among
    the first n - ceil(t n) + 1 of each, so only those go into inverted lists. Short lists (up to SHORT classes) give
    pairs, counted; a pair whose count can't reach the needed overlap is gone. Long lists stay lists.
-3. Blocks. Classes of surviving pairs meet in small blocks. Classes that long lists connect are one family, and only
+3. Blocks. Classes that surviving pairs connect meet in a block, with others while there is room. Classes that long lists connect are one family, and only
    classes of one family can link; a family of up to BLOCK_CLASSES meets in one block.
 4. Search. In a block, each set looks up its own inverted lists: short lists are merged and counted, long ones only
    probed for the candidates left (DivideSkip), and classes reaching the overlap that their sizes ask for are links.
@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, saved
-from quern.llm.shingles import set_id, shingle_set
+from quern.llm.shingles import mix, set_id, shingle_set
 
 #: Lists of more classes than this are long.
 SHORT = 64
 #: log2 of the sketch's buckets: SPREAD more than that of the rows, in these bounds. The upper one is a worker's memory.
-SPREAD, LEAST_BITS, MOST_BITS = 2, 16, 22
+SPREAD, LEAST_BITS, MOST_BITS = 4, 16, 23
 #: The same for the bits of the filter of wanted classes.
 BLOOM_SPREAD, LEAST_BLOOM, MOST_BLOOM = 6, 16, 27
 PAIRS_PER_BLOCK = 4_000
@@ -284,7 +284,7 @@ def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _candidates(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes that may reach the threshold: a, b, n; classes of long lists: class, n, family)."""
+    """(pairs of classes that may reach the threshold, with their sizes: a, b, na, nb; classes of long lists: class, n, family)."""
     rank = np.minimum(255, 4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes()
     heavy = (counts > max(HEAVY * float(counts.mean()), LEAST_HEAVY)).tobytes()
     rows = _prefixes(docs, rank, heavy, percent, width)
@@ -295,7 +295,7 @@ def _candidates(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int,
     share = lambda n: F.ceil(n * percent / 100)
     shared = found.where("nb is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     reach = F.col("shared") + F.greatest(share(F.col("na")), share(F.col("nb"))) - 1 >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = saved(shared.where(reach).select("a", "b", (F.col("na") + F.col("nb")).alias("n")), "pairs")
+    pairs = saved(shared.where(reach).select("a", "b", "na", "nb"), "pairs")
     long_ = found.where("nb is null").select(F.col("a").alias("class"), F.col("b").alias("list"), F.col("na").alias("n"))
     first = long_.groupBy("list").agg(F.min("class").alias("first"))
     # each class of a list hangs on the list's first: one edge for all the lists that two classes share
@@ -307,34 +307,37 @@ def _candidates(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int,
     return pairs, families
 
 
-def _bits(c: np.ndarray, bits: int) -> np.ndarray:
-    return np.unique(np.concatenate([(c.view(np.uint64) >> np.uint64(s)).astype(np.int64) & ((1 << bits) - 1) for s in (0, 30)]))
+def _bits(classes: np.ndarray, owners: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the filter of (class, owner), two a pair."""
+    key = mix(classes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + owners.view(np.uint64))
+    return np.unique(np.concatenate([(key >> np.uint64(s)).astype(np.int64) & ((1 << bits) - 1) for s in (0, 32)]))
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, body): the sets of the wanted classes, each once a task. A filter keeps others from the shuffle; some pass it."""
+    """(class, body): the sets of the wanted classes (class, owner), made from the text of the row whose id has that
+    hash. A filter keeps other rows from being written; some pass it."""
     bits = _bits_for(wanted.count(), BLOOM_SPREAD, LEAST_BLOOM, MOST_BLOOM)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            at = _bits(b.column(0).to_numpy(), bits)
+            at = _bits(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
             np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if found.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_task()] * PARTS, pa.int32()), pa.array(_in_parts(found), pa.binary())], names=["part", "task", "body"])
 
-    parts = wanted.select("class").mapInArrow(marked, "part int, task int, body binary")
+    parts = wanted.select("class", "owner").mapInArrow(marked, "part int, task int, body binary")
     bloom = zlib.compress(folded(parts, np.bitwise_or, (1 << bits) // 8, "u1").tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen = np.frombuffer(zlib.decompress(bloom), np.uint8), set()
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                ids, bodies = [], []
-                for t in b.column(1).slice(i, 200).cast(pa.binary()):
+                ids, bodies, owners = [], [], b.column(1).slice(i, 200).to_numpy()
+                for k, t in enumerate(b.column(0).slice(i, 200).cast(pa.binary())):
                     s = shingle_set(t.as_py(), width)
                     if len(s) and (c := set_id(s)) not in seen:
-                        at = _bits(np.array([c]), bits)
+                        at = _bits(np.array([c]), owners[k : k + 1], bits)
                         if (found[at >> 3] >> (at & 7) & 1).all():
                             seen.add(c)
                             ids.append(c)
@@ -342,22 +345,21 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["class", "body"])
 
-    return docs.mapInArrow(run, "class long, body binary")
+    return docs.select("text", F.xxhash64("id").alias("owner")).mapInArrow(run, "class long, body binary")
 
 
-def _searched(docs: DataFrame, blocks: DataFrame, percent: int, width: int) -> DataFrame:
+def _searched(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """(block, leader, class) of every class of every block: the first class of its group of links there."""
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("class")
         ids = t.column("class").to_numpy()
-        first = np.unique(ids, return_index=True)[1]  # a class comes once from each task that met it
+        first = np.unique(ids, return_index=True)[1]  # rows of one id, or that passed the filter, may repeat a class
         bodies = t.column("body")
-        sets = [np.frombuffer(bodies[int(i)].as_py(), np.uint64) for i in first]
-        group = leaders(links_among(sets, percent), len(sets))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(sets), pa.int64()), "leader": pa.array(ids[first][group]), "class": pa.array(ids[first])})
+        found = [np.frombuffer(bodies[int(i)].as_py(), np.uint64) for i in first]
+        group = leaders(links_among(found, percent), len(found))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int64()), "leader": pa.array(ids[first][group]), "class": pa.array(ids[first])})
 
-    sets = _wanted_sets(docs, blocks.select("class").distinct(), width)
     return saved(blocks.join(sets, "class").groupBy("block").applyInArrow(search, "block long, leader long, class long"), "searched")
 
 
@@ -397,17 +399,36 @@ def _rest_blocks(rest: DataFrame, members: DataFrame) -> DataFrame:
     return asked.union(given).distinct()
 
 
-def links(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width: int) -> DataFrame:
-    """(src, dst) classes: enough links to connect all that reach the threshold. docs has id and text; n_rows: of the lists, about."""
+def _pair_blocks(pairs: DataFrame) -> DataFrame:
+    """(block, class): the classes that pairs connect meet in one block, several such groups in each. Pairs of a
+    group too large for that are dealt by their first class."""
+    named = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    both = pairs.select("a", "b", "na", "nb").join(named.withColumnRenamed("node", "a"), "a")
+    classes = both.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("na").alias("n")), F.struct(F.col("b").alias("class"), F.col("nb").alias("n")))).alias("x"), "component").select("x.class", "x.n", "component").distinct()
+    sizes = classes.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    small = (F.col("k") <= BLOCK_CLASSES) & (F.col("s") <= BLOCK_SHINGLES)
+    total = sizes.where(small).agg(F.sum("k").alias("k"), F.sum("s").alias("s")).first()
+    packs = max((total.k or 0) // BLOCK_CLASSES, (total.s or 0) // BLOCK_SHINGLES) + 1
+    fit = sizes.withColumn("small", small).select("component", "small")
+    met = classes.join(fit.where("small"), "component").select(F.pmod(F.xxhash64("component"), F.lit(packs)).alias("block"), "class")
+    wide = both.join(fit.where("not small"), "component")
+    total = wide.agg(F.count("*").alias("k"), F.sum(F.col("na") + F.col("nb")).alias("s")).first()
+    n = max(total.k // PAIRS_PER_BLOCK, (total.s or 0) // (2 * BLOCK_SHINGLES)) + 1
+    return met.union(wide.select((F.pmod(F.xxhash64("a"), F.lit(n)) + packs).alias("block"), F.explode(F.array("a", "b")).alias("class")))
+
+
+def links(docs: DataFrame, owners: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width: int) -> DataFrame:
+    """(src, dst) classes: enough links to connect all that reach the threshold.
+
+    docs has id and text; owners has each class and the hash of the id of a row that has it; n_rows: rows of the lists, about.
+    """
     if percent < 75:
         raise ValueError("size classes are made for 75 % and more")
     pairs, families = _candidates(docs, counts, n_rows, percent, width)
-    total = pairs.agg(F.count("*").alias("k"), F.sum("n").alias("s")).first()
-    n_blocks = max(total.k // PAIRS_PER_BLOCK, (total.s or 0) // (2 * BLOCK_SHINGLES)) + 1
-    met = pairs.select(F.pmod(F.xxhash64("a"), F.lit(n_blocks)).alias("block"), F.explode(F.array("a", "b")).alias("class"))
     dealt = saved(_dealt(families, 0), "dealt")
-    blocks = saved(met.union(dealt.select("block", "class")).distinct(), "blocks")
-    searched = _searched(docs, blocks, percent, width)
+    blocks = saved(_pair_blocks(pairs).union(dealt.select("block", "class")).distinct(), "blocks")
+    sets = saved(_wanted_sets(docs, saved(blocks.select("class").distinct().join(owners, "class"), "wanted"), width), "bodies")
+    searched = _searched(sets, blocks, percent)
     edges = searched.select(F.col("leader").alias("src"), F.col("class").alias("dst"))
     large, members, turn = dealt.where("m > 1").select("family", "class", "n"), dealt, 0
     many, before = members.where("m > 1").count(), None
@@ -416,7 +437,7 @@ def links(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width:
         first = searched.where("leader = class").select("block", "class")
         turn += 1
         members = saved(_dealt(members.where("m > 1").join(first, ["block", "class"]).select("family", "class", "n"), turn), "leaders")
-        searched = _searched(docs, members.select("block", "class"), percent, width)
+        searched = _searched(sets, members.select("block", "class"), percent)
         edges = edges.union(searched.select(F.col("leader").alias("src"), F.col("class").alias("dst")))
         before, many = many, members.where("m > 1").count()
     if turn:
@@ -426,7 +447,7 @@ def links(docs: DataFrame, counts: np.ndarray, n_rows: int, percent: int, width:
         rest = saved(named.join(largest, "family").where("g <> most").select("family", "class", "n"), "rest")
         if not rest.isEmpty():
             others = large.join(rest.select("family").distinct(), "family", "left_semi")
-            more = _searched(docs, saved(_rest_blocks(rest, others), "rest-blocks"), percent, width)
+            more = _searched(sets, _rest_blocks(rest, others), percent)
             edges = edges.union(more.select(F.col("leader").alias("src"), F.col("class").alias("dst")))
     return edges.where("src <> dst")
 
@@ -447,7 +468,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     counts = folded(made.where("part is not null").select("part", "task", "body"), _added, 1 << bits, "u4")
     sets = made.where("part is null").select("id", "class", "n")
     n_rows = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0]
-    united = saved(connected_components(links(own, counts, int(n_rows or 0), percent, width)), "united")
+    owners = sets.where("class is not null").groupBy("class").agg(F.min(F.xxhash64("id")).alias("owner"))
+    united = saved(connected_components(links(own, owners, counts, int(n_rows or 0), percent, width)), "united")
     first = sets.where("class is not null").groupBy("class").agg(F.min("id").alias("first"))
     named = first.join(united, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
