@@ -38,7 +38,7 @@ from quern.llm.shingles import mix, set_id, shingle_set
 #: Lists of more classes than this are long.
 SHORT = 64
 #: log2 of the sketch's buckets: SPREAD more than that of the rows, in these bounds. The upper one is a worker's memory.
-SPREAD, LEAST_BITS, MOST_BITS = 4, 16, 23
+SPREAD, LEAST_BITS, MOST_BITS = 2, 20, 23
 #: The same for the bits of the filter of wanted classes.
 BLOOM_SPREAD, LEAST_BLOOM, MOST_BLOOM = 6, 16, 27
 PAIRS_PER_BLOCK = 4_000
