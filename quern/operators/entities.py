@@ -23,13 +23,12 @@ def signals(companies: DataFrame, suffixes: list[str] | None = None) -> DataFram
 
 
 def candidate_pairs(signals_: DataFrame, fuzzy: int = 92) -> DataFrame:
-    """(a, b), a < b: records that share a domain, an identifier, a name or the first six letters of one, or have similar names. No other pair can merge or need a review.
+    """(a, b), a < b: records that share a domain, an identifier or a name, or have similar names. No other pair can merge or need a review.
 
     Each block key is a join key and all pairs of a block are made. Blocks of more than SALT_ROWS records are cut in
     slices by id, and each two slices meet under a key of their own, so that no task makes all pairs of a large block.
     """
-    prefix = F.substring(F.replace("norm_name", F.lit(" "), F.lit("")), 1, 6)
-    keys = F.array_compact(F.array_union(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("d:"), "canonical"), F.concat(F.lit("n:"), "norm_name"), F.concat(F.lit("p:"), prefix)), F.transform("ids", lambda i: F.concat(F.lit("i:"), i))))
+    keys = F.array_compact(F.array_union(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("d:"), "canonical"), F.concat(F.lit("n:"), "norm_name")), F.transform("ids", lambda i: F.concat(F.lit("i:"), i))))
     return _block_pairs(signals_.select("id", F.explode(F.array_distinct(keys)).alias("key"))).union(similar_pairs(signals_, fuzzy)).distinct()
 
 

@@ -178,7 +178,7 @@ def str_19_round_ratio(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.round_ratio(5, F.col("c_custkey") % 8, F.lit(7)).cast("long").alias("points"))
 
 
-@query("""select page_id, '"' || replace(replace(replace(replace(replace(t, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' as literal from (select page_id, left(html, 200) as t from pages)""")
+@query("""select page_id, '"' || replace(replace(replace(replace(replace(t, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"' as literal from (select page_id, html as t from pages)""")
 def str_20_sparql_literal(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sparql_string(F.col("html")).alias("literal"))
 
@@ -327,7 +327,7 @@ def flt_04_responses(spark, sf_dir):
 TERMS_TEXT = "case doc_id % 4 when 0 then 'Scraping is prohibited here. ' || t when 1 then 'Robots welcome. ' || t || ' You must not copy.' when 2 then t else 'data extraction ' || left(t, 60) || ' is not permitted' end"
 
 
-@query(f"""with d as (select doc_id, {TERMS_TEXT} as t from (select doc_id, left(text, 400) as t from documents)),
+@query(f"""with d as (select doc_id, {TERMS_TEXT} as t from (select doc_id, text as t from documents)),
     m as (select doc_id, t, unnest(regexp_extract_all('x ' || t, '(?is)(.*?)(?:{policy.AUTOMATION})', 1)) as before from d),
     a as (select doc_id, sum(length(b) + length(w)) over (partition by doc_id order by k) - length(w) as at from (select doc_id, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.AUTOMATION})', 1)) as b, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.AUTOMATION})', 2)) as w, unnest(range(1, 1 + len(regexp_extract_all(t, '(?is)(.*?)({policy.AUTOMATION})', 1)))) as k from d)),
     p as (select doc_id, sum(length(b) + length(w)) over (partition by doc_id order by k) - length(w) as at from (select doc_id, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 1)) as b, unnest(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 2)) as w, unnest(range(1, 1 + len(regexp_extract_all(t, '(?is)(.*?)({policy.PROHIBITION})', 1)))) as k from d))
@@ -561,7 +561,8 @@ def flt_15_grounding(spark, sf_dir):
     return facts.grounding(f, p.groupBy("url").agg(F.min(t).alias("main_text"))).select("entity_id", "name", "rejection")
 
 
-@query("""with t as (select d.doc_id, b.item_id, left(d.text, 300) as s, b.text as c from documents d join benchmark b on b.item_id = d.doc_id % 40),
+@query("""with o as (select list(distinct item_id order by item_id) as items from benchmark),
+    t as (select d.doc_id, b.item_id, d.text as s, b.text as c from documents d, o join benchmark b on b.item_id = o.items[d.doc_id % len(o.items) + 1]),
     w as (select *, """ + S.tokens("s") + " as a, " + S.tokens("c") + """ as z from t)
     select doc_id, item_id, case when length(s) >= 160 and contains(lower(""" + S.compact("c") + "), lower(" + S.compact("s") + """)) then 'long_copy' when len(list_filter(regexp_extract_all(s, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(c, '[0-9]+'), x))) > 0 then 'numbers'
         when len(list_intersect(a, z)) * 10 < len(a) * 6 then 'unsupported' end as reason from w""")
@@ -596,11 +597,11 @@ def companies(spark, sf_dir) -> DataFrame:
 SIGNALS = f"""with c as (select page_id as id, array_to_string(string_split({S.TITLE}, ' ')[1:2], ' ') || case when page_id % 2 = 0 then ' B.V.' else '' end as name, {S.bare('url')} as domain, case when page_id % 9 = 0 then 'wikidata:Q' || page_id % 5 end as wid,
         (page_id % 7) / 10 + 0.3 as confidence, page_id % 11 as created_at, page_id % 13 as updated_at, url from pages),
     s as (select id, name, {S.company_name('name')} as norm, {S.registrable('domain', S.HOST_SUFFIXES)} as domain, wid from c)"""
-DECISIONS = SIGNALS + """, d as (select a.id as a, b.id as b, a.domain = b.domain as same, a.wid <> b.wid as apart, a.wid = b.wid as shared, a.norm = b.norm as named, substr(replace(a.norm, ' ', ''), 1, 6) = substr(replace(b.norm, ' ', ''), 1, 6) as prefixed,
+DECISIONS = SIGNALS + """, d as (select a.id as a, b.id as b, a.domain = b.domain as same, a.wid <> b.wid as apart, a.wid = b.wid as shared, a.norm = b.norm as named,
         ((greatest(length(a.norm), length(b.norm)) - levenshtein(a.norm, b.norm)) * 100 // greatest(length(a.norm), length(b.norm)))::int as score from s a join s b on a.id < b.id),
     o as (select a, b, case when apart then 'separate' when same or shared then 'merge' when named or score >= 92 then 'manual_review' else 'separate' end as outcome,
         round(case when apart or same or shared then 0.99 when named then 0.94 when score >= 92 then score / 100 else greatest(0.5, 1 - coalesce(score, 0) / 100) end, 4) as confidence,
-        case when apart then 'conflicting_identifiers' when same then 'domain' when shared then 'identifier' when named then 'exact_name' when score >= 92 then 'fuzzy_name' else 'different' end as reason from d where same or shared or named or prefixed)"""
+        case when apart then 'conflicting_identifiers' when same then 'domain' when shared then 'identifier' when named then 'exact_name' when score >= 92 then 'fuzzy_name' else 'different' end as reason from d where same or shared or named or score >= 92)"""
 
 
 @query(DECISIONS + " select * from o")

@@ -8,11 +8,8 @@ import pytest
 from quern.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-FAST = ["url_01_normalize_domain", "url_09_canonical_page_url", "str_06_redacted_fragment", "str_12_content_tokens", "flt_01_source_policy", "flt_13_terms_signal", "tvf_05_navigation_links", "srt_02_ranked_pages", "agg_02_resolved_services", "enr_01_registry", "stm_01_latest_progress", "srt_09_bounded_turns"]
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
