@@ -44,7 +44,9 @@ SHORT_ITEM = 1
 SPAN, GROUP = 480, 8
 #: Characters of the items that are held against the documents at a time; more items take more passes.
 BLOCK_CHARS = 200_000
-FILTER_BITS = 23
+FILTER_BITS = 21
+#: Parts of items that are held against their stretches at a time.
+LANES = 4_096
 CHUNK = 1 << 14
 SEED = 4_823
 
@@ -83,6 +85,17 @@ def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _bit_rows(item: str) -> list[tuple[int, np.ndarray]]:
+    """(length, the bit vector of each byte) of an item's parts of at most 64 characters."""
+    out = []
+    c = codes(item)
+    for part in np.array_split(c, -(-len(c) // 64)):
+        row = np.zeros(256, np.uint64)
+        np.bitwise_or.at(row, part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        out.append((len(part), row))
+    return out
+
+
 class Walks:
     """The random bits of the walks and the places that each table samples."""
 
@@ -175,14 +188,15 @@ class Index:
         self.shift = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0, np.int64)
         starts = begin[self.item] + self.shift if sizes else np.zeros(0, np.int64)
         self.strings, self.tables = [], []
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.pieces: dict[int, list] = {}
         for string, keys in self.walks.strings(text, starts):
             self.strings.append(np.ascontiguousarray(string.T))
             self.tables.append([])
             for key in keys:
                 order = np.argsort(key, kind="stable")
-                self.tables[-1].append((key[order], order))
-                self.filter[key >> np.uint32(32 - FILTER_BITS)] = True
+                known = np.zeros(1 << FILTER_BITS, bool)
+                known[key >> np.uint32(32 - FILTER_BITS)] = True
+                self.tables[-1].append((key[order], order, known))
         self.shortest = min([len(n) - int(max_share * len(n)) for _, n in self.items + self.short], default=None)
         allowed = [int(max_share * len(n)) for _, n in self.short]
         #: Places in short of the items that may be edited; the others must occur exactly.
@@ -197,8 +211,8 @@ class Index:
         for begin in range(0, len(text) - STEPS, STRIDE * CHUNK):
             starts = np.arange(begin, min(len(text) - STEPS, begin + STRIDE * CHUNK), STRIDE)
             for (string, keys), tables, known_strings in zip(self.walks.strings(text, starts), self.tables, self.strings):
-                for key, (known, order) in zip(keys, tables):
-                    hit = np.flatnonzero(self.filter[key >> np.uint32(32 - FILTER_BITS)])
+                for key, (known, order, among) in zip(keys, tables):
+                    hit = np.flatnonzero(among[key >> np.uint32(32 - FILTER_BITS)])
                     if not len(hit):
                         continue
                     lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
@@ -243,17 +257,21 @@ class Index:
                     if edits <= int(self.max_share * len(n)) and (held is None or (edits, left + end) < held):
                         found[use[doc]][len(self.items) + k] = (edits, left + end)
                 doc += 1
-        for item, place in sorted(self.candidates(joined)):
+        asked = []
+        for item, doc, first, last in self._stretches(sorted(self.candidates(joined)), begin, len(joined)):
             n = self.items[item][1]
             allowed = int(self.max_share * len(n))
             slack = allowed + 16
-            at = place * 16
-            # the document in which most of the stretch lies
-            doc = int(np.searchsorted(begin, min(max(at + len(n) // 2, 0), len(joined) - 1), "right")) - 1
             own, base = plain[use[doc]], int(begin[doc])
-            left = max(0, at - base - slack)
-            stretch = own[left : max(0, at - base + 16 + len(n) + slack)]
-            if len(stretch) < len(n) - allowed:
+            left = max(0, first * 16 - base - slack)
+            stretch = own[left : max(0, last * 16 - base + 16 + len(n) + slack)]
+            if len(stretch) >= len(n) - allowed:
+                asked.append((item, doc, left, stretch))
+        least = self._least_edits([(a[0], a[3]) for a in asked])
+        for (item, doc, left, stretch), few in zip(asked, least):
+            n = self.items[item][1]
+            allowed = int(self.max_share * len(n))
+            if few > allowed:
                 continue
             exact = stretch.find(n)
             edits, end = (0, exact + len(n)) if exact >= 0 else edit_distance_within(n, stretch)
@@ -263,6 +281,66 @@ class Index:
                     found[use[doc]][item] = (edits, left + end)
         return found
 
+    def _stretches(self, places: list[tuple[int, int]], begin: np.ndarray, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """(item, document, first place, last place): neighbouring places of an item, aligned together."""
+        held = None
+        for item, place in places:
+            # the document in which most of the stretch lies
+            doc = int(np.searchsorted(begin, min(max(place * 16 + len(self.items[item][1]) // 2, 0), end - 1), "right")) - 1
+            if held and held[:2] == (item, doc) and place - held[3] <= 2 and place - held[2] <= 8:
+                held = (*held[:3], place)
+                continue
+            if held:
+                yield held
+            held = (item, doc, place, place)
+        if held:
+            yield held
+
+    def _least_edits(self, asked: list[tuple[int, str]]) -> np.ndarray:
+        """For each (item, stretch) a number that the edit distance can't be less than.
+
+        An item is cut into parts of at most 64 characters, and the distances of the parts to the stretch, each
+        with free ends, add up to no more than the item's. Bit vectors of many parts advance together; bytes
+        stand for characters, which can only make a distance less.
+        """
+        out = np.zeros(len(asked), np.int64)
+        order = sorted(range(len(asked)), key=lambda k: len(asked[k][1]))
+        at, one = 0, np.uint64(1)
+        while at < len(order):
+            some, peq, length, owner = [], [], [], []
+            while at < len(order) and (not some or len(peq) < LANES):
+                item = asked[order[at]][0]
+                if item not in self.pieces:
+                    self.pieces[item] = _bit_rows(self.items[item][1])
+                for n, row in self.pieces[item]:
+                    peq.append(row)
+                    length.append(n)
+                    owner.append(len(some))
+                some.append(order[at])
+                at += 1
+            texts = [codes(asked[k][1]) for k in some]
+            chars = np.zeros((max(map(len, texts)), len(texts)), np.uint8)
+            for i, t in enumerate(texts):
+                chars[: len(t), i] = t
+            flat, base, lane = np.concatenate(peq), np.arange(len(peq)) * 256, np.array(owner)
+            last = np.array(length, np.uint64) - one
+            pv, mv = np.full(len(peq), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(peq), np.uint64)
+            score = np.array(length, np.int32)
+            best = score.copy()
+            for row in chars:
+                eq = flat.take(base + row.take(lane))
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += (ph >> last & one).astype(np.int32)
+                score -= (mh >> last & one).astype(np.int32)
+                np.minimum(best, score, out=best)
+                ph <<= one
+                mh <<= one
+                pv, mv = mh | ~(xv | ph), ph & xv
+            out[some] = np.bincount(lane, best, len(some)).astype(np.int64)
+        return out
+
     def item_id(self, k: int) -> int:
         return self.items[k][0] if k < len(self.items) else self.short[k - len(self.items)][0]
 
