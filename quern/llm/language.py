@@ -13,19 +13,27 @@ UNKNOWN = "und"
 FINE_LEVEL = 19
 #: The most languages that a model may have: their dictionaries are sent to every worker.
 MAX_LANGUAGES = 400
+#: A language's rows are first sampled in so many slices.
+SLICES = 16
 
 
 def train(docs: DataFrame, docs_per_lang: int = 400, chars_per_doc: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A raw-content dictionary for each language: the starts of at most docs_per_lang labelled texts, those with the lowest hash of their id.
+    """A raw-content dictionary for each language: a window of chars_per_doc characters of at most docs_per_lang labelled texts, those with the lowest hash of their id.
 
-    The sample is bounded by its two parameters, whatever the size of the table; each task keeps docs_per_lang
-    rows a language before the shuffle. Rows with a null label, or a null or empty text, teach nothing.
+    The window stands anywhere in its text, by another hash of the id; a shorter text is taken whole. The sample is
+    bounded by its two parameters, whatever the size of the table. It is drawn in two levels, SLICES slices of a
+    language and then the language, so that no task sorts all rows of a common one. Rows with a null label, or a
+    null or empty text, teach nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
+    slice_, whole = Window.partitionBy("lang", "slice").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
+    start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length(text_col) - chars_per_doc, F.lit(0)) + 1) + 1
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, chars_per_doc).alias("text"))
-        .where("lang is not null and text is not null and text <> ''")
-        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
+        docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col)).where(F.col("lang").isNotNull() & (F.col(text_col) != ""))
+        .withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
+        .select("id", "lang", F.substring(F.col(text_col), start.cast("int"), F.lit(chars_per_doc)).alias("text"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SLICES)).alias("slice"))
+        .withColumn("k", F.row_number().over(slice_)).where(F.col("k") <= docs_per_lang)
+        .withColumn("k", F.row_number().over(whole)).where(F.col("k") <= docs_per_lang)
         .select("lang", "k", "text").collect()
     )
     by_lang: dict[str, list[tuple[int, str]]] = {}

@@ -384,3 +384,43 @@ def test_licenses(spark):
     got = sorted((r.doc_id - len(EDGE), r.unit, r.license_id, r.n) for r in licenses.scan_licenses(make(spark, texts)).collect())
     assert got == [(0, "text", "MIT", 1), (1, "text", "MIT", 1), (3, "line", "Apache-2.0", 1), (4, "line", "all-rights-reserved", 1), (4, "text", "all-rights-reserved", 1), (5, "line", "all-rights-reserved", 2)]
     assert licenses.scan_licenses(make(spark, [])).count() == 0
+
+
+def test_language_sizes_and_margins(spark):
+    """Labels, scores and rejections against frames compressed one by one."""
+    import zstandard
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    words = {"a": ["rama", "kolu", "sidem", "torav"], "b": ["chey", "wirth", "oughly", "quen"], "c": ["ñadú", "éter", "çalo", "übik"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(k, text(lang, 30 + k), lang) for k, lang in enumerate("abc" * 12)] + [(100, None, "a"), (101, "x", None), (102, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, docs_per_lang=5, chars_per_doc=40)
+    assert sorted(model) == ["a", "b", "c"]
+    for lang, body in model.items():
+        parts = body.decode().split("\n")
+        assert len(parts) == 5 and all(len(p) == 40 for p in parts)
+        assert all(any(p in (t or "").lower() for _, t, own in rows if own == lang) for p in parts)
+    asked = [text("a", 12), text("b", 300), text("c", 40) + " " + text("a", 40), "", None, "123 456", "rama chey", "ZZZ"]
+    got = language.classify(make(spark, asked), model, min_margin=0.05, block_chars=256)
+
+    def size(plain, body, level):
+        d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(body), source_size=1024, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        d.precompute_compress(compression_params=params)
+        return sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(plain[i : i + 256].encode())) for i in range(0, len(plain), 256))
+
+    expected = {}
+    for k, t in enumerate(asked):
+        if not t or not any(c.isalpha() for c in t):
+            expected[k] = ("und", 0.0, True)
+            continue
+        for level in (6, 19):
+            sizes = sorted((size(t.lower(), body, level), lang) for lang, body in model.items())
+            margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            if margin >= 0.05:
+                break
+        expected[k] = (sizes[0][1], margin, margin < 0.05)
+    assert {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in got.collect()} == expected
+    # the sample does not depend on how rows are dealt
+    assert language.train(docs.repartition(7), docs_per_lang=5, chars_per_doc=40) == model
