@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import connected_components, saved
 
 #: Fixed small numbers for the searches: beams start so wide, and an audit holds so many queries against all nodes.
-BEAM, AUDIT, AUDIT_RECALL = 24, 64, 0.995
+BEAM, AUDIT, AUDIT_RECALL = 24, 64, 1.0
 QUERY_BATCH = 256
 
 
@@ -125,12 +125,14 @@ class Shard:
                 yield k, n, to
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, least_shards: int = 8, shard_rows: int = 131_072, query_rows: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, least_shards: int = 8, shard_rows: int = 131_072, shard_bytes: int = 1 << 27, query_rows: int = 1 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs with a cosine of `threshold` or more.
 
-    Rows are dealt over shards by hash, least_shards or as many as hold shard_rows each. A shard's graph is built
-    in one task and written; all vectors are held against each shard in blocks of query_rows. n_links counts the
-    other rows linked directly. component_id is the smallest id reachable by links; kept: it is the row's own.
+    Rows are dealt over shards by hash, least_shards or as many as hold shard_rows rows and shard_bytes of vectors
+    each. A shard's graph is built in one task and written to the shared folder. All vectors are held against each
+    shard, in blocks of up to query_rows: a task gets one copy of the graph, and the block's vectors stream through
+    it. query_rows is 8 * shard_rows, so that graphs are a small part of what is shuffled. n_links counts the other
+    rows linked directly. component_id is the smallest id reachable by links; kept: it is the row's own.
 
     A ball of copies counts as one node of the graph and gives a query one edge, so that a group of g copies costs
     g edges a shard, not g * g. Only links whose cosine (double precision) or angle sum proves it are counted.
@@ -140,6 +142,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, least_shards: in
     with no component. An empty table gives no rows; other columns are not read.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be integers, not {kind}")
     points = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).withColumn("uid", F.monotonically_increasing_id())
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +156,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, least_shards: in
 
     points = saved(points.mapInArrow(normal, "uid long, id long, x binary"), "vectors")
     valid = points.where("x is not null and id is not null")
-    total = valid.count()
-    shards, blocks = max(least_shards, -(-total // shard_rows)), max(1, -(-total // query_rows))
+    total, size = valid.agg(F.count("*"), F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0))).first()
+    shards = max(least_shards, -(-total // shard_rows), -(-size // shard_bytes))
+    wide = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // shards)  # two tasks a core where there are few shards
+    blocks = max(1, -(-total // query_rows), min(wide, -(-total // 8_192)))
     dealt = valid.withColumn("d", F.length("x")).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
 
     def arrays(t: pa.Table) -> np.ndarray:
@@ -166,22 +172,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, least_shards: in
 
     graphs = saved(dealt.groupBy("d", "shard").applyInArrow(build, "d int, shard int, graph binary"), "graphs")
 
-    def search(key: tuple, graph: pa.Table, t: pa.Table) -> pa.Table:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        if graph.num_rows and t.num_rows:
-            shard = pickle.loads(graph.column("graph")[0].as_py())
-            uids, ids, x = t.column("uid").to_pylist(), t.column("id").to_pylist(), arrays(t)
-            for k, n, to in shard.links(uids, x):
-                for column, v in zip(out, (uids[k], ids[k], n, to)):
-                    column.append(v)
-        return pa.table({"uid": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int64()), "links": pa.array(out[3], pa.list_(pa.int64()))})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (d, shard, block), the graph first."""
+        shard = held = None
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(4)])
+            is_graph = keys[3] == 0
+            change = np.flatnonzero(is_graph[1:] | (keys[:3, 1:] != keys[:3, :-1]).any(0)) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+                if start == end:
+                    continue
+                if is_graph[start]:
+                    shard, held = pickle.loads(b.column(6)[start].as_py()), tuple(keys[:3, start])
+                    start += 1
+                if start == end or held != tuple(keys[:3, start]):
+                    continue  # no vector of this length was dealt to the shard
+                t = b.slice(start, end - start)
+                uids, ids = t.column(4).to_pylist(), t.column(5).to_pylist()
+                x = np.frombuffer(b"".join(t.column(6).to_pylist()), np.float64).reshape(t.num_rows, -1)
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for k, n, to in shard.links(uids, x):
+                    for column, v in zip(out, (uids[k], ids[k], n, to)):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["uid", "id", "n", "links"])
 
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = dealt.select("uid", "id", "x", "d", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).select("*", each_shard.alias("shard"))
-    ready = graphs.select("d", "shard", "graph", each_block.alias("block"))
+    none = F.lit(None).cast("long")
+    asked = dealt.select("d", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "uid", "id", F.col("x").alias("body")).select("d", each_shard.alias("shard"), "block", "kind", "uid", "id", "body")
+    ready = graphs.select("d", "shard", each_block.alias("block"), F.lit(0).alias("kind"), none.alias("uid"), none.alias("id"), F.col("graph").alias("body"))
     keys = ["d", "shard", "block"]
-    found = saved(ready.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "uid long, id long, n long, links array<long>"), "found")
+    streams = ready.union(asked).repartition(shards * blocks, *keys).sortWithinPartitions(*keys, "kind")
+    found = saved(streams.mapInArrow(search, "uid long, id long, n long, links array<long>"), "found")
     united = connected_components(found.select(F.col("id").alias("src"), F.explode("links").alias("dst")))
     n_links = found.groupBy("uid").agg(F.sum("n").alias("n"))
     component = F.coalesce("component", "id")
