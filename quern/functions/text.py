@@ -32,6 +32,10 @@ TOPIC_STOPWORDS = ["a", "agencies", "agency", "and", "business", "businesses", "
 BUSINESS_WORDS = ["agency", "bureau", "bv", "commerce", "company", "consulting", "collective", "corp", "corporation", "digital", "group", "inc", "labs", "llc", "ltd", "network", "partners", "studio", "solutions", "technologies"]
 GENERIC_WORDS = ["about", "agency", "commerce", "company", "contact", "digital", "ecommerce", "expertise", "home", "services", "solutions", "specialists", "welcome"]
 
+#: Words of page labels; a text that begins with one names a page.
+PAGE_LABELS = ["about", "contact", "diensten", "expertise", "home", "oplossingen", "services", "solutions", "welcome"]
+FILLERS = ["our", "team", "we"]
+
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"(^|[^\p{L}\p{N}_])(\+?\d[\d().\s-]{6,}\d)"
 WORD = r"[\p{L}\p{N}]+"
@@ -95,10 +99,11 @@ def looks_like_person_name(c: Column) -> Column:
 
 
 def plausible_company_name(c: Column) -> Column:
-    """Neither blank, of generic words alone, with contact data, nor a person's name."""
+    """Neither blank, of generic words alone, a page's label, with contact data, nor a person's name."""
     words = F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
-    generic = F.size(F.array_except(words, F.array(*[F.lit(w) for w in GENERIC_WORDS]))) == 0
-    return (F.size(words) > 0) & ~generic & ~contains_contact(c) & ~looks_like_person_name(c)
+    generic = F.size(F.array_except(words, F.array(*[F.lit(w) for w in GENERIC_WORDS + FILLERS]))) == 0
+    label = F.coalesce(F.get(words, F.lit(0)).isin(PAGE_LABELS), F.lit(False))
+    return (F.size(words) > 0) & ~generic & ~label & ~contains_contact(c) & ~looks_like_person_name(c)
 
 
 def country_from_text(c: Column) -> Column:

@@ -17,7 +17,10 @@ PRIVATE_SUFFIXES = ["github.io", "gitlab.io", "herokuapp.com", "blogspot.com", "
 
 DOMAIN = r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 ADDRESS = r"^\d+(\.\d+){3}$"
-PRIVATE_ADDRESS = r"^(0|10|127|169\.254|172\.(1[6-9]|2\d|3[01])|192\.168|2(2[4-9]|[3-5]\d))\."
+PRIVATE_ADDRESS = r"^(0|10|127|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])|169\.254|172\.(1[6-9]|2\d|3[01])|192\.0\.[02]|192\.168|198\.1[89]|198\.51\.100|203\.0\.113|2(2[4-9]|[3-5]\d))\."
+#: Addresses of version 6 that are public lie in 2000::/3, but for 2001::/23, the addresses for documents and 6to4.
+GLOBAL_ADDRESS_6 = r"^[23][0-9a-f]{3}:(?!:*$)"
+SPECIAL_ADDRESS_6 = r"^(2001:0?[01]?[0-9a-f]{0,2}:|2001:0?db8:|2002:)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -177,7 +180,10 @@ def same_website(a: Column, b: Column) -> Column:
 def is_public_http(url: Column) -> Column:
     """http(s), no user, port 80 or 443, and neither a local name nor a private, loopback, link-local, multicast or reserved address."""
     h = host(url)
-    local = h.isin("", "localhost") | h.rlike(r"\.(localhost|local|internal)$") | (h.rlike(ADDRESS) & h.rlike(PRIVATE_ADDRESS))
+    six = F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?\[([^\]]*)\]", 1))
+    bracketed = F.contains(authority(url), F.lit("["))
+    public_six = six.rlike(GLOBAL_ADDRESS_6) & ~six.rlike(SPECIAL_ADDRESS_6)
+    local = (bracketed & ~public_six) | h.isin("", "localhost") | h.rlike(r"\.(localhost|local|internal)$") | (h.rlike(ADDRESS) & h.rlike(PRIVATE_ADDRESS))
     return scheme(url).isin("http", "https") & ~F.contains(authority(url), F.lit("@")) & port(url).isin("", "80", "443") & ~local
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text, urls
-from quern.operators import enrich, entities, export, facts, pages, policy, scoring
+from quern.operators import checks, enrich, entities, export, facts, pages, policy, scoring
 from quern.plans import sql as S
 from quern.sources import search
 from quern.streaming import progress
@@ -748,3 +748,100 @@ def ctl_01_research_run(spark, sf_dir):
     from quern.plans import research
 
     return research.run(spark, sf_dir)
+
+
+# --- checks -------------------------------------------------------------------------------------------------
+
+
+def line_fields(spark, sf_dir) -> DataFrame:
+    """Order lines as fields of their orders."""
+    k = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("entity_id"), (k * 1_000_000 + F.col("l_partkey")).cast("long").alias("pos"), F.when(k == 1, "company_name").when(k == 2, "website_url").otherwise("city").alias("name"),
+        F.when(F.col("l_returnflag") != "R", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string"))).alias("value"), F.when(F.col("l_linestatus") == "O", "explicit").otherwise("inference").alias("basis"),
+        F.when(F.col("l_partkey") % 5 > 0, F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))).otherwise(F.array().cast("array<string>")).alias("evidence_urls"),
+    )
+
+
+@query("""select l_orderkey as entity_id, count(distinct l_linenumber) filter (where l_linenumber in (1, 2) and l_returnflag <> 'R' and l_linestatus = 'O' and l_partkey % 5 > 0) = 2 as verified from lineitem group by 1""")
+def flt_06_independently_verified(spark, sf_dir):
+    return checks.independently_verified(line_fields(spark, sf_dir))
+
+
+@query(f"""with t as (select page_id, url, unnest(['https://' || {S.bare('url')} || '/x', 'ftp://' || {S.bare('url')}, 'https://other.test/', null]) as v, unnest([1, 2, 3, 4]) as k from pages) select page_id, cast(k as bigint) as k, k = 1 as safe from t""")
+def flt_07_safe_identity_url(spark, sf_dir):
+    h = urls.without_www(urls.host(F.col("url")))
+    made = F.array(F.concat(F.lit("https://"), h, F.lit("/x")), F.concat(F.lit("ftp://"), h), F.lit("https://other.test/"), F.lit(None).cast("string"))
+    each = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(made).alias("k", "v"))
+    return each.select("page_id", (F.col("k") + 1).cast("long").alias("k"), checks.safe_identity_url(F.col("v"), F.col("url")).alias("safe"))
+
+
+@query("select c_custkey, case when c_custkey % 9 > 0 then c_acctbal end as score from customer where case when c_custkey % 9 > 0 then c_acctbal else 0 end >= -100")
+def flt_11_least_score(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("score"))
+    return checks.at_least(made, F.lit(-100))
+
+
+@query("""select l_orderkey as entity_id, min(l_linenumber * 1000000 + l_partkey)::bigint as pos, 's' || l_suppkey % 3 as source, l_returnflag as value, arg_max('p' || l_partkey, l_linenumber * 1000000 + l_partkey) as label from lineitem group by l_orderkey, l_suppkey % 3, l_returnflag""")
+def agg_09_unique_identifiers(spark, sf_dir):
+    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("long").alias("pos"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("source"), F.col("l_returnflag").alias("value"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("label"))
+    return checks.unique_identifiers(made)
+
+
+@query("""select l_orderkey as entity_id, (array_agg(case when l_returnflag <> 'R' then 's' || l_suppkey % 3 end order by l_linenumber * 1000000 + l_partkey))[1] as value from lineitem where l_linenumber >= 2 and l_partkey % 5 > 0 group by 1""")
+def flt_21_first_supported(spark, sf_dir):
+    return checks.first_supported(line_fields(spark, sf_dir), ["website_url", "city"])
+
+
+@query("""select c_custkey, case c_custkey % 5 when 0 then 7.5::double when 1 then 0 when 2 then null when 3 then 30 end as delay from customer""")
+def stm_07_retry_delay(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    header = F.when(k == 0, " 7.5 , 100").when(k == 1, "-3").when(k == 2, "Wed, 21 Oct").when(k == 3, "")
+    return table(spark, sf_dir, "customer").select("c_custkey", checks.retry_delay(header, F.when(k == 3, "30, 2000")).alias("delay"))
+
+
+@query("""select page_id, case when page_id % 4 = 1 or page_id % 4 = 2 then 'identity' when page_id % 3 = 0 then 'evidence' end as rejection from pages""")
+def enr_04_identity_guard(spark, sf_dir):
+    k, u = F.col("page_id"), F.col("url")
+    name = F.concat(F.lit("n"), k.cast("string"))
+    renamed = F.when(k % 4 == 1, F.concat(name, F.lit(" Ltd"))).otherwise(name)
+    moved = F.when(k % 4 == 2, F.lit("https://elsewhere.test/")).otherwise(F.concat(u, F.when(F.contains(u, F.lit("?")), "&utm_source=x").otherwise("?utm_source=x")))
+    return table(spark, sf_dir, "pages").select("page_id", checks.enrichment_rejection(name, u, renamed, moved, k % 3 == 0).alias("rejection"))
+
+
+@query(f"""with p as (select page_id, url, {S.company_url('url')} as k, {S.bare('url')} as site from pages), kept as (select site, k, max(page_id) as page from p group by 1, 2),
+    met as (select p.site as entity_id, p.page_id as pos, kept.page from p join kept using (site, k) where p.page_id % 3 = 0 and kept.page % 2 = 0)
+    select * from (select p.site as entity_id, p.page_id as pos, c.page from p join (select site, k, max(page_id) as page from p where page_id % 2 = 0 group by 1, 2) c using (site, k) where p.page_id % 3 = 0)
+    union all select site, 0, min(page_id) from p where page_id % 2 = 0 and site not in (select a.site from p a join p b on a.site = b.site and a.k = b.k where a.page_id % 3 = 0 and b.page_id % 2 = 0) group by site""")
+def join_02_clean_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(urls.without_www(urls.host(F.col("url"))).alias("entity_id"), "url", F.col("page_id").alias("pos"))
+    cleaned = p.where("pos % 2 = 0").select("entity_id", "url", F.col("pos").alias("page"), F.col("pos").alias("seq"))
+    return checks.clean_pages(p.where("pos % 3 = 0"), cleaned)
+
+
+def domain_lists(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.explode(F.array(
+        F.struct(F.element_at(F.array(F.lit("approved"), F.lit("blocked"), F.lit("candidate")), (k % 3 + 1).cast("int")).alias("list"), F.when(k % 2 == 0, "exact").otherwise("recursive").alias("kind"), F.concat(F.lit("d"), (k % 40).cast("string"), F.lit(".test")).alias("rule")),
+        F.struct(F.lit("blocked").alias("list"), F.lit("exact").alias("kind"), F.concat(F.lit("d"), (k % 7).cast("string"), F.lit(".test")).alias("rule")),
+    )).alias("r")).select("r.*")
+
+
+RULE_ROWS = """(select ['approved', 'blocked', 'candidate'][s_suppkey % 3 + 1] as list, case when s_suppkey % 2 = 0 then 'exact' else 'recursive' end as kind, 'd' || s_suppkey % 40 || '.test' as rule from supplier union all select 'blocked', 'exact', 'd' || s_suppkey % 7 || '.test' from supplier)"""
+
+
+@query(f"""select rule as domain, array_to_string(list_filter(['approved exact', 'approved recursive', 'blocked exact', 'blocked recursive', 'candidate review'], lambda o: list_contains(list(case list when 'candidate' then 'candidate review' else list || ' ' || kind end), o)), ', ') as origins from {RULE_ROWS} group by rule""")
+def agg_17_listed_domains(spark, sf_dir):
+    return checks.listed_domains(domain_lists(spark, sf_dir))
+
+
+@query(f"""select c_custkey, 'd' || c_custkey % 50 || '.test' as domain from customer where 'd' || c_custkey % 50 || '.test' in (select rule from {RULE_ROWS} where list = 'approved' and kind = 'exact')""")
+def join_15_live_targets(spark, sf_dir):
+    targets = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("d"), (F.col("c_custkey") % 50).cast("string"), F.lit(".test")).alias("domain"))
+    return checks.live_targets(targets, domain_lists(spark, sf_dir))
+
+
+@query(f"""select page_id as id, {S.host('url')} as domain, url, 'refused by [redacted] at ' || page_id as reason from pages""")
+def flt_19_skipped_items(spark, sf_dir):
+    made = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.concat(F.lit("refused by a.b@c.example at "), F.col("page_id").cast("string")).alias("reason"))
+    return checks.skipped_items(made)

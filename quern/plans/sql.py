@@ -148,7 +148,8 @@ def person(c):
 
 def plausible(c):
     w = words(f"lower({c})")
-    return f"(len({w}) > 0 and len(list_filter({w}, lambda x: not list_contains({listed(T.GENERIC_WORDS)}, x))) > 0 and not {has_contact(c)} and not {person(c)})"
+    labels = listed(["about", "contact", "diensten", "expertise", "home", "oplossingen", "services", "solutions", "welcome"])
+    return f"(len({w}) > 0 and not list_contains({labels}, {w}[1]) and len(list_filter({w}, lambda x: not list_contains({listed([*T.GENERIC_WORDS, 'our', 'team', 'we'])}, x))) > 0 and not {has_contact(c)} and not {person(c)})"
 
 
 def country_of(c):

@@ -50,3 +50,15 @@ def test_ids(spark):
 
 def test_cells(spark):
     assert values(spark, ["=1+1", "a \t b\n  c", "plain"], lambda c: text.spreadsheet_cell(c, 20)) == ["'=1+1", "a b\nc", "plain"]
+
+
+def test_public_addresses(spark):
+    refused = ["http://[::1]/", "http://[fe80::1]/", "http://[fc00::2]:80/", "http://[::ffff:10.0.0.1]/", "http://[2001:db8::1]/", "http://[2001::1]/", "http://[2002:a00:1::]/", "http://[", "http://192.0.2.1/", "http://198.18.0.1/", "http://198.51.100.7/", "http://203.0.113.5/", "http://100.64.1.1/", "http://240.0.0.1/"]
+    allowed = ["http://[2606:4700::1111]/", "https://[2a00:1450:4001::8a]:443/x", "http://192.0.3.1/", "http://100.128.0.1/", "https://example.org/"]
+    rows = spark.createDataFrame([(u,) for u in refused + allowed], "u string").select("u", urls.is_public_http(F.col("u")).alias("ok")).collect()
+    assert {r.u for r in rows if r.ok} == set(allowed)
+
+
+def test_page_labels_are_no_names(spark):
+    rows = spark.createDataFrame([(x,) for x in ("Our Team", "We", "About Acme", "Team Acme Digital 24", "Acme Web Agency")], "x string").select("x", text.plausible_company_name(F.col("x")).alias("ok")).collect()
+    assert [r.x for r in rows if r.ok] == ["Team Acme Digital 24", "Acme Web Agency"]
