@@ -757,7 +757,7 @@ def line_fields(spark, sf_dir) -> DataFrame:
     """Order lines as fields of their orders."""
     k = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("entity_id"), (k * 1_000_000 + F.col("l_partkey")).cast("long").alias("pos"), F.when(k == 1, "company_name").when(k == 2, "website_url").otherwise("city").alias("name"),
+        F.col("l_orderkey").alias("entity_id"), (k.cast("long") * 10**10 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")).alias("pos"), F.when(k == 1, "company_name").when(k == 2, "website_url").otherwise("city").alias("name"),
         F.when(F.col("l_returnflag") != "R", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string"))).alias("value"), F.when(F.col("l_linestatus") == "O", "explicit").otherwise("inference").alias("basis"),
         F.when(F.col("l_partkey") % 5 > 0, F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))).otherwise(F.array().cast("array<string>")).alias("evidence_urls"),
     )
@@ -788,7 +788,7 @@ def agg_09_unique_identifiers(spark, sf_dir):
     return checks.unique_identifiers(made)
 
 
-@query("""select l_orderkey as entity_id, (array_agg(case when l_returnflag <> 'R' then 's' || l_suppkey % 3 end order by l_linenumber * 1000000 + l_partkey))[1] as value from lineitem where l_linenumber >= 2 and l_partkey % 5 > 0 group by 1""")
+@query("""select l_orderkey as entity_id, (array_agg(case when l_returnflag <> 'R' then 's' || l_suppkey % 3 end order by l_linenumber, l_partkey, l_suppkey))[1] as value from lineitem where l_linenumber >= 2 and l_partkey % 5 > 0 group by 1""")
 def flt_21_first_supported(spark, sf_dir):
     return checks.first_supported(line_fields(spark, sf_dir), ["website_url", "city"])
 
