@@ -16,8 +16,8 @@ from __future__ import annotations
 import os
 from codecs import charmap_decode
 
-#: The most entries of an encoder's memory: some 130 MB.
-MEMO_UNITS = 800_000
+#: The most entries of an encoder's memory: some 200 MB.
+MEMO_UNITS = 1_200_000
 MEMO_CHARS = 48
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict = {}

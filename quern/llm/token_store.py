@@ -2,7 +2,7 @@
 
 A store is a folder with four tables:
 
-* `chunks`: key binary (the address: sha256 of the ids), n_ids int, ids binary (little-endian unsigned 16-bit,
+* `chunks`: address binary (sha256 of the ids), n_ids int, ids binary (little-endian unsigned 16-bit,
   compressed with zstandard). Each address is stored once.
 * `recipes`: uid long, id, n_tokens long, chunks array<struct<address, n_ids>>, part int: in ascending order of
   id, from part to part and within a part's files.
@@ -36,7 +36,7 @@ SEEN = 200_000
 def _gear():
     import numpy as np
 
-    return np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+    return np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
 def marks(ids, gear, bits: int = MEAN_BITS):
@@ -46,8 +46,8 @@ def marks(ids, gear, bits: int = MEAN_BITS):
     g = gear[ids]
     h = g.copy()
     for j in range(1, min(WINDOW, len(ids))):
-        h[j:] += g[:-j] << np.uint64(5 * j)
-    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
+        h[j:] += g[:-j] << np.uint32(4 * j)
+    return np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
 
 
 def cut_points(found, begin: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -134,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
 
         encoder, gear, press = loaded(tokenizer_path), _gear(), zstandard.ZstdCompressor(level=1, write_content_size=True)
         uid, seen = TaskContext.get().partitionId() << 36, set()
-        names = ["kind", "key", "uid", "id", "n_ids", "ids", "chunks"]
+        names = ["kind", "address", "uid", "id", "n_ids", "ids", "chunks"]  # a recipe has its uid for an address
         pair = pa.list_(pa.struct([("address", pa.binary()), ("n_ids", pa.int32())]))
         for b in batches:
             id_type, step = b.schema.types[0], 256
@@ -164,10 +164,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                 types = [pa.string(), pa.binary(), pa.int64(), id_type, pa.int32(), pa.binary(), pair]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
-    schema = f"kind string, key binary, uid long, id {kind}, n_ids int, ids binary, chunks array<struct<address: binary, n_ids: int>>"
+    schema = f"kind string, address binary, uid long, id {kind}, n_ids int, ids binary, chunks array<struct<address: binary, n_ids: int>>"
     staged = new_path(spark, "store")
-    # one sort by (kind, key): it parts equal chunks, and the write by kind needs no other
-    place = F.row_number().over(Window.partitionBy("kind", "key").orderBy("n_ids"))
+    # one sort by (kind, address): it parts equal chunks, and the write by kind needs no other
+    place = F.row_number().over(Window.partitionBy("kind", "address").orderBy("n_ids"))
     (
         docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
         # not `place = 1`, for which Spark would sort the tasks' own rows, too
@@ -178,7 +178,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
-    chunks_schema = "key binary, n_ids int, ids binary"
+    chunks_schema = "address binary, n_ids int, ids binary"
     made = jvm.org.apache.hadoop.fs.Path(f"{staged}/kind=chunk")
     if not fs.exists(made):
         spark.createDataFrame([], chunks_schema).write.parquet(f"{path}/chunks")
@@ -203,7 +203,7 @@ def recipes(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, n_ids int, ids binary").parquet(f"{path}/chunks").select(F.col("key").alias("address"), "n_ids", "ids")
+    return spark.read.schema("address binary, n_ids int, ids binary").parquet(f"{path}/chunks")
 
 
 def recipe_roots(found: DataFrame) -> DataFrame:

@@ -424,3 +424,30 @@ def test_language_sizes_and_margins(spark):
     assert {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in got.collect()} == expected
     # the sample does not depend on how rows are dealt
     assert language.train(docs.repartition(7), docs_per_lang=5, chars_per_doc=40) == model
+
+
+@pytest.mark.parametrize("change", ["n_tokens", "length", "missing"])
+def test_changed_store_is_found(spark, tmp_path, change):
+    """A changed number of ids, a changed chunk length and a missing chunk each end in an error."""
+    path = new_path(spark, "test-changed")
+    token_store.write_store(make(spark, ["some text of a document " * 200, "other words"]), path, tokenizer("byte_bpe_50k.json"))
+    assert token_store.verify_store(spark, path)
+    if change == "missing":
+        found = token_store.chunks(spark, path)
+        rows = found.orderBy("address").limit(1).collect()
+        spark.createDataFrame(rows, found.schema).write.mode("overwrite").parquet(f"{path}/chunks")
+        with pytest.raises(Exception, match="missing"):
+            token_store.document_digests(spark, path).collect()
+        return
+    kept = token_store.recipes(spark, path)
+    schema, rows = kept.schema, [r.asDict(recursive=True) for r in kept.collect()]
+    for r in rows:
+        if change == "n_tokens":
+            r["n_tokens"] += 1
+        else:
+            r["chunks"][0]["n_ids"] += 1
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    assert not token_store.verify_store(spark, path)
+    if change == "n_tokens":
+        with pytest.raises(Exception, match="number of ids"):
+            token_store.document_digests(spark, path).collect()
