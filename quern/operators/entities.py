@@ -167,6 +167,6 @@ def merged_fields(fields: DataFrame) -> DataFrame:
 
 
 def merged_extractions(fields: DataFrame) -> DataFrame:
-    """(entity_id, name, value, n_urls): explicit before inferred, then the most urls, then the earliest; urls of one value united."""
+    """(entity_id, name, value, n_urls): explicit before inferred, then the most urls, then the earliest, then the smallest value; urls of one value united."""
     by_value = fields.groupBy("entity_id", "name", "value").agg(F.max((F.col("basis") == "explicit").cast("int")).alias("e"), F.countDistinct("url").alias("n_urls"), F.min("pos").alias("pos"))
-    return by_value.groupBy("entity_id", "name").agg(F.max_by(F.struct("value", "n_urls"), F.struct("e", "n_urls", -F.col("pos"))).alias("b")).select("entity_id", "name", F.col("b.value").alias("value"), F.col("b.n_urls").alias("n_urls"))
+    return by_value.groupBy("entity_id", "name").agg(F.min_by(F.struct("value", "n_urls"), F.struct(-F.col("e"), -F.col("n_urls"), "pos", "value")).alias("b")).select("entity_id", "name", F.col("b.value").alias("value"), F.col("b.n_urls").alias("n_urls"))

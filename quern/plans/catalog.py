@@ -636,7 +636,7 @@ def agg_05_merged_fields(spark, sf_dir):
 
 
 @query(f"""with f as (select *, case when pos % 3 = 0 then 'explicit' else 'inference' end as basis from {S.FACT_ROWS}), v as (select entity_id, name, value, max((basis = 'explicit')::int) as e, count(distinct url) as n_urls, min(pos) as pos from f group by all)
-    select entity_id, name, arg_max(value, (e, n_urls, -pos)) as value, arg_max(n_urls, (e, n_urls, -pos)) as n_urls from v group by all""")
+    select entity_id, name, arg_min(value, (-e, -n_urls, pos, value)) as value, arg_min(n_urls, (-e, -n_urls, pos, value)) as n_urls from v group by all""")
 def agg_08_merged_extractions(spark, sf_dir):
     f = facts.fact_candidates(table(spark, sf_dir, "pages")).withColumn("basis", F.when(F.col("pos") % 3 == 0, "explicit").otherwise("inference"))
     return entities.merged_extractions(f)
