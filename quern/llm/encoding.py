@@ -2,7 +2,8 @@
 
 Texts are cut at safe boundaries, places no token of the tokenizer can span, and the tokens of each
 unit between them are remembered. Units repeat, so most of a text costs one dictionary look-up a word;
-the library itself encodes each unit that is new. The memory is bounded: it is emptied when full.
+the library itself encodes each unit that is new. The memory is bounded: it is emptied when full, and that of a
+BpeEncoder at the end of each task (`borrowed`), so that idle Python workers hold none while other stages run.
 
 Safe boundaries:
 * byte-level BPE with the usual pattern: before a single blank between two characters that are not white
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import os
 from codecs import charmap_decode
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-#: The most entries of an encoder's memory: some 200 MB.
+#: The most entries of an encoder's memory, all of its dictionaries together: some 200 MB.
 MEMO_UNITS = 1_200_000
 MEMO_CHARS = 48
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,11 +84,15 @@ class BpeEncoder:
     def _remembered(self, memo: dict, blank: str, word: str) -> bytes:
         got = self._unit(memo, blank, word)
         if len(word) <= MEMO_CHARS and "\n" not in word:
-            if len(memo) >= MEMO_UNITS:
-                memo.clear()
+            if len(self.units) + len(self.first) >= MEMO_UNITS:
+                self.forget()
             memo[word] = got
         return got
 
+    def forget(self) -> None:
+        self.units.clear()
+        self.first.clear()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -94,20 +101,18 @@ class BpeEncoder:
         words = text.split(" ")
         out = list(map(self.units.get, words))
         out[0] = self.first.get(words[0])
-        try:
-            return b"".join(out)
-        except TypeError:  # None: units that are new, or that are never remembered
-            new = [i for i, got in enumerate(out) if got is None]
         memo, packed, tokens, blank = self.units, self.packed, self.bpe.tokenize, self.alphabet[32]
-        for i in new:
+        i = -1
+        for _ in range(out.count(None)):  # units that are new, or that are never remembered
+            i = out.index(None, i + 1)
             w = words[i]
             got = memo.get(w) if i else None
             if got is None:
                 if i and w.isalpha() and w.isascii():  # the usual word: one match, and no byte but the blank is shown as another
                     got = b"".join([packed[t.id] for t in tokens(blank + w)])
                     if len(w) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_UNITS:
-                            memo.clear()
+                        if len(memo) + len(self.first) >= MEMO_UNITS:
+                            self.forget()
                         memo[w] = got
                 elif not w or w[0].isspace() or w[-1].isspace():
                     return self._merged(words)
@@ -223,3 +228,21 @@ def loaded(path: str):
     if path not in _LOADED:
         _LOADED[path] = BpeEncoder(path) if path.endswith(".json") else PieceCounter(path)
     return _LOADED[path]
+
+
+@contextmanager
+def borrowed(path: str) -> Iterator[BpeEncoder]:
+    """The encoder of a .json file for one task: what it remembers is given back to the system when the task ends."""
+    import ctypes
+
+    import pyarrow as pa
+
+    encoder = loaded(path)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks unless told
+        if trim:
+            trim(0)

@@ -108,9 +108,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, linear: floa
         import numpy as np
         from pyspark import TaskContext
 
-        from quern.llm.encoding import loaded
+        from quern.llm.encoding import borrowed
 
-        encoder = loaded(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 36
         full_cost = linear * seq_len + quadratic * seq_len * seq_len
         block: list[tuple] = []
@@ -142,22 +141,23 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, linear: floa
             block.clear()
 
         id_type = pa.int64()
-        for b in batches:
-            id_type = b.schema.types[0]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py()) + END
-                total = len(ids) // 2
-                start = 0
-                for start in range(seq_len, total + 1, seq_len):
-                    row(doc, start - seq_len, seq_len, crc(ids[2 * (start - seq_len) : 2 * start]), total, sequence, 0, full_cost)
-                    sequence += 1
-                if start < total:
-                    block.append((doc, start, ids[2 * start :], total))
-                    held += total - start
-                    if held >= block_tokens:
-                        flush()
-                if len(rows[0]) >= 20_000:
-                    yield batch(id_type)
+        with borrowed(tokenizer_path) as encoder:
+            for b in batches:
+                id_type = b.schema.types[0]
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    ids = encoder.encode(text.as_py()) + END
+                    total = len(ids) // 2
+                    start = 0
+                    for start in range(seq_len, total + 1, seq_len):
+                        row(doc, start - seq_len, seq_len, crc(ids[2 * (start - seq_len) : 2 * start]), total, sequence, 0, full_cost)
+                        sequence += 1
+                    if start < total:
+                        block.append((doc, start, ids[2 * start :], total))
+                        held += total - start
+                        if held >= block_tokens:
+                            flush()
+                    if len(rows[0]) >= 20_000:
+                        yield batch(id_type)
         if block:
             flush()
         if rows[0]:

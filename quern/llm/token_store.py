@@ -130,39 +130,40 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         import zstandard
         from pyspark import TaskContext
 
-        from quern.llm.encoding import loaded
+        from quern.llm.encoding import borrowed
 
-        encoder, gear, press = loaded(tokenizer_path), _gear(), zstandard.ZstdCompressor(level=1, write_content_size=True)
+        gear, press = _gear(), zstandard.ZstdCompressor(level=1, write_content_size=True)
         uid, seen = TaskContext.get().partitionId() << 36, set()
         names = ["kind", "address", "uid", "id", "n_ids", "ids", "chunks"]  # a recipe has its uid for an address
         pair = pa.list_(pa.struct([("address", pa.binary()), ("n_ids", pa.int32())]))
-        for b in batches:
-            id_type, step = b.schema.types[0], 256
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                rows: tuple[list, ...] = tuple([] for _ in names)
-                bodies = [encoder.encode(t) + b"\0\0" for t in part.column(1).to_pylist()]
-                whole = b"".join(bodies)
-                found, begin = marks(np.frombuffer(whole, "<u2"), gear).tolist(), 0
-                for doc, body in zip(part.column(0).to_pylist(), bodies):
-                    recipe, at = [], begin
-                    begin += len(body) // 2
-                    for end in cut_points(found, at, begin):
-                        raw = whole[2 * at : 2 * end]
-                        address = hashlib.sha256(raw).digest()
-                        recipe.append({"address": address, "n_ids": end - at})
-                        if address not in seen:
-                            seen.add(address)
-                            for column, v in zip(rows, ("chunk", address, None, None, end - at, press.compress(raw), None)):
-                                column.append(v)
-                        at = end
-                    for column, v in zip(rows, ("recipe", uid.to_bytes(8, "big"), uid, doc, None, None, recipe)):
-                        column.append(v)
-                    uid += 1
-                if len(seen) > SEEN:
-                    seen.clear()
-                types = [pa.string(), pa.binary(), pa.int64(), id_type, pa.int32(), pa.binary(), pair]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+        with borrowed(tokenizer_path) as encoder:
+            for b in batches:
+                id_type, step = b.schema.types[0], 256
+                for i in range(0, b.num_rows, step):
+                    part = b.slice(i, step)
+                    rows: tuple[list, ...] = tuple([] for _ in names)
+                    bodies = [encoder.encode(t) + b"\0\0" for t in part.column(1).to_pylist()]
+                    whole = b"".join(bodies)
+                    found, begin = marks(np.frombuffer(whole, "<u2"), gear).tolist(), 0
+                    for doc, body in zip(part.column(0).to_pylist(), bodies):
+                        recipe, at = [], begin
+                        begin += len(body) // 2
+                        for end in cut_points(found, at, begin):
+                            raw = whole[2 * at : 2 * end]
+                            address = hashlib.sha256(raw).digest()
+                            recipe.append({"address": address, "n_ids": end - at})
+                            if address not in seen:
+                                seen.add(address)
+                                for column, v in zip(rows, ("chunk", address, None, None, end - at, press.compress(raw), None)):
+                                    column.append(v)
+                            at = end
+                        for column, v in zip(rows, ("recipe", uid.to_bytes(8, "big"), uid, doc, None, None, recipe)):
+                            column.append(v)
+                        uid += 1
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    types = [pa.string(), pa.binary(), pa.int64(), id_type, pa.int32(), pa.binary(), pair]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
     schema = f"kind string, address binary, uid long, id {kind}, n_ids int, ids binary, chunks array<struct<address: binary, n_ids: int>>"
     staged = new_path(spark, "store")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store
+from quern.llm import decontaminate, encoding, jaccard_join, language, licenses, line_dedup, packing, token_counts, token_store
 from quern.llm.common import connected_components, new_path
 from quern.llm.queries import tokenizer
 
@@ -73,6 +73,40 @@ def test_packing(spark, bpe):
     assert packing.pack(make(spark, []), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def remembered(spark):
+    """Units that idle Python workers still hold, for each worker that has loaded an encoder."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from quern.llm import encoding
+
+        for _ in batches:
+            yield from (pa.RecordBatch.from_pydict({"n": [len(e.units) + len(e.first)]}) for e in encoding._LOADED.values() if isinstance(e, encoding.BpeEncoder))
+
+    return [r.n for r in spark.range(0, 64, 1, 8).mapInArrow(run, "n long").collect()]
+
+
+@pytest.mark.parametrize("operator", ["packing", "store"])
+def test_tasks_give_their_memory_back(spark, operator):
+    docs = make(spark, [f"some words of document number{i}" for i in range(400)]).repartition(8)
+    if operator == "packing":
+        packing.pack(docs, tokenizer("byte_bpe_50k.json")).collect()
+    else:
+        token_store.write_store(docs, new_path(spark, "store"), tokenizer("byte_bpe_50k.json"))
+    held = remembered(spark)
+    assert held and not any(held)
+
+
+def test_encoder_memory_is_bounded(bpe, monkeypatch):
+    monkeypatch.setattr(encoding, "MEMO_UNITS", 8)
+    encoder = encoding.BpeEncoder(tokenizer("byte_bpe_50k.json"))
+    for i in range(60):
+        text = f"first{i} a b c d e f, g{i}\nh  i"
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == bpe.encode(text, add_special_tokens=False).ids
+        assert len(encoder.units) + len(encoder.first) <= 8
+
+
 def test_assignment_balances_cost():
     pieces, costs = packing.assign([700, 600, 400, 300, 200, 100, 90, 10], 1024, 1.0, 1 / 512)
     assert len(costs) == 3 and sum(n for _, _, n, _, _ in pieces) == 2400
