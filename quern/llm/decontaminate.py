@@ -40,13 +40,15 @@ LEAST_AGREEMENT = 0.62
 WINDOWED_ITEM = 96
 #: Items of fewer characters must occur exactly: none.
 SHORT_ITEM = 1
-#: Short items are held against runs of this many characters at a time, GROUP of their parts together.
-SPAN, GROUP = 480, 8
+#: Candidates of short items are told by runs of SPAN characters and looked for in pieces of PIECE of them, a whole
+#: number of blocks in which grams are counted.
+SPAN, PIECE, BLOCK, LANES_A_WORD = 480, 160, 16, 8
+GRAMS = (3, 4)
 #: Characters of the items that are held against the documents at a time; more items take more passes.
 BLOCK_CHARS = 200_000
 FILTER_BITS = 21
-#: Parts of items that are held against their stretches at a time.
-LANES = 4_096
+#: Parts of items that are held against their stretches at a time; of short items, against pieces of text.
+LANES, SHORT_LANES = 4_096, 16_384
 CHUNK = 1 << 14
 SEED = 4_823
 
@@ -85,6 +87,26 @@ def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _grams(c: np.ndarray, q: int) -> np.ndarray:
+    """A 16-bit hash of the q characters from each place."""
+    w, n = c.astype(np.uint16), max(0, len(c) - q + 1)
+    out = np.zeros(n, np.uint16)
+    for j, f in zip(range(q), (0x9E35, 0x6C8F, 0x3A2D, 0xB4D1)):
+        out += w[j : j + n] * np.uint16(f)
+    return out
+
+
+def _rows(string: np.ndarray) -> np.ndarray:
+    """Strings (steps by windows) as a row of words for each window, eight places a word."""
+    out = np.empty((string.shape[1], STEPS // 8), np.uint64)
+    for k in range(STEPS // 8):
+        word = string[8 * k].astype(np.uint64)
+        for j in range(1, 8):
+            word |= string[8 * k + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, k] = word
+    return out
+
+
 def _bit_rows(item: str) -> list[tuple[int, np.ndarray]]:
     """(length, the bit vector of each byte) of an item's parts of at most 64 characters."""
     out = []
@@ -102,17 +124,28 @@ class Walks:
     def __init__(self):
         g = np.random.Generator(np.random.PCG64(SEED))
         self.move = g.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
+        # by two characters, the second in the high byte: how far two steps move, and 8 if the first of them does
+        code = np.arange(1 << 16)
+        one, two = code & 0xFF, code >> 8
+        first = [[self.move[w, j][one] for j in range(0, STEPS, 2)] for w in range(WALKS)]
+        self.two_steps = np.array([[m + self.move[w, 2 * j + 1][np.where(m, two, one)] + 8 * m for j, m in enumerate(first[w])] for w in range(WALKS)], np.uint8)
         self.place = np.array([[np.sort(g.choice(STEPS, SAMPLES, replace=False)) for _ in range(TABLES)] for _ in range(WALKS)])
         self.factor = g.integers(1, 1 << 31, (WALKS, TABLES, SAMPLES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def strings(self, text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each walk the strings (steps by windows) of the windows of `text` (padded by STEPS at its end) at starts, and the keys of each table."""
+        """For each walk the strings (steps by windows) of the windows of `text` (padded by STEPS at its end) at starts, in ascending order, and the keys of each table."""
+        base, last = (int(starts[0]), int(starts[-1])) if len(starts) else (0, 0)
+        piece = text[base : last + STEPS + 1].astype(np.uint16)
+        both = piece[:-1] | piece[1:] << np.uint16(8)
         for w in range(WALKS):
             out, product = np.empty((STEPS, len(starts)), np.uint8), np.empty(len(starts), np.uint32)
-            at = starts.astype(np.intp)
-            for j in range(STEPS):
-                np.take(text, at, out=out[j], mode="clip")
-                at += self.move[w, j].take(out[j], mode="clip")
+            at = starts - base
+            for j in range(0, STEPS, 2):
+                seen = both.take(at, mode="clip")
+                moved = self.two_steps[w, j // 2].take(seen, mode="clip")
+                out[j] = seen & np.uint16(0xFF)
+                out[j + 1] = seen >> (moved & np.uint8(8)) & np.uint16(0xFF)
+                at += moved & np.uint8(3)
             keys = []
             for t in range(TABLES):
                 key = np.full(len(starts), (w * TABLES + t) * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
@@ -127,13 +160,14 @@ class Walks:
 class Short:
     """Items held against every stretch of a text.
 
-    An item is cut into parts of at most 64 characters; if it is within k edits of a stretch, one of its p parts is
-    within k // p. The bit vectors of a part advance over all runs of the text together. Bytes stand for characters,
-    which can only make a distance less.
+    Pieces of text without enough of an item's grams of characters are left out first. An item is cut into parts of at most
+    64 characters; if it is within k edits of a stretch, one of its p parts is within k // p. The bit vectors of
+    many parts and pieces advance together. Bytes stand for characters, which can only make a distance less.
     """
 
     def __init__(self, items: list[str], allowed: list[int]):
-        parts = [(k, piece, allowed[k] // n) for k, t in enumerate(items) for n in [-(-len(t) // 64)] for piece in np.array_split(codes(t), n)]
+        self.codes, self.allowed = [codes(t) for t in items], allowed
+        parts = [(k, piece, allowed[k] // n) for k, c in enumerate(self.codes) for n in [-(-len(c) // 64)] for piece in np.array_split(c, n)]
         self.owner = np.array([k for k, _, _ in parts], np.int64)
         self.length = np.array([[len(c)] for _, c, _ in parts], np.uint64).reshape(-1, 1)
         self.edits = np.array([[e] for _, _, e in parts], np.int32).reshape(-1, 1)
@@ -142,34 +176,85 @@ class Short:
             for j, x in enumerate(c.tolist()):
                 self.peq[i, x] |= np.uint64(1 << j)
         #: A stretch that begins in a run ends within as many characters after it.
-        self.width = SPAN + max((len(t) + a for t, a in zip(items, allowed)), default=0)
+        self.longest = max((len(t) + a for t, a in zip(items, allowed)), default=0)
+        self.width = SPAN + self.longest
+
+    def shared(self, text: np.ndarray, pieces: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each item with the pieces in which a stretch within its edits may begin.
+
+        An edit changes at most q of an item's n - q + 1 grams of q characters, so a stretch within k edits has at
+        least n - q + 1 - q * k places whose gram is one of the item's. They are counted in the blocks that a
+        stretch beginning in a block can reach, for LANES_A_WORD items together, a byte of a word for each. Grams
+        stand for one another where their hashes are equal, which can only make a count more.
+        """
+        blocks = pieces * (PIECE // BLOCK)
+        grams = [(q, _grams(np.concatenate([text, np.zeros(blocks * BLOCK + q - 1 - len(text), np.uint8)]), q)) for q in GRAMS]
+        for i in range(0, len(self.codes), LANES_A_WORD):
+            own = self.codes[i : i + LANES_A_WORD]
+            passed = np.ones((len(own), blocks), bool)
+            for q, gram in grams:
+                known = np.zeros((1 << 16, LANES_A_WORD), np.uint8)
+                for lane, c in enumerate(own):
+                    known[_grams(c, q), lane] = 1
+                counts = known.view(np.uint64).ravel().take(gram).reshape(blocks, BLOCK).sum(1).view(np.uint8).reshape(blocks, LANES_A_WORD)
+                sums = np.zeros((blocks + 1, LANES_A_WORD), np.int32)
+                np.cumsum(counts, 0, dtype=np.int32, out=sums[1:])
+                for lane, c in enumerate(own):
+                    k = self.allowed[i + lane]
+                    least = len(c) - q + 1 - q * k
+                    if least > 0:
+                        # the first gram stands anywhere in a block, the last at most len(c) + k - q places on
+                        reach = (len(c) + k - q + BLOCK - 1) // BLOCK + 1
+                        ahead = sums[np.minimum(np.arange(blocks) + reach, blocks), lane] - sums[:-1, lane]
+                        passed[lane] &= ahead >= least
+            for lane in range(len(own)):
+                yield i + lane, np.flatnonzero(passed[lane].reshape(pieces, -1).any(1))
 
     def candidates(self, text: np.ndarray) -> set[tuple[int, int]]:
         """(item, start of a run) for all runs of width characters that may hold an item."""
-        runs, one, out = -(-len(text) // SPAN), np.uint64(1), set()
-        padded = np.concatenate([text, np.zeros(runs * SPAN + self.width - len(text), np.uint8)])
-        chars = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[: runs * SPAN : SPAN].T)
-        for i in range(0, len(self.owner), GROUP):
-            peq, length = self.peq[i : i + GROUP], self.length[i : i + GROUP]
+        pieces, one, out = -(-len(text) // PIECE), np.uint64(1), set()
+        width = PIECE + self.longest
+        padded = np.concatenate([text, np.zeros(pieces * PIECE + width - len(text), np.uint8)])
+        chars = np.lib.stride_tricks.sliding_window_view(padded, width)[: pieces * PIECE : PIECE]
+        flat = self.peq.ravel()
+        for part, piece in self._lanes(text, pieces):
+            found, place = np.unique(piece, return_inverse=True)
+            base, length = part * 256, self.length[part, 0]
             last = length - one
-            pv, mv = np.full((len(peq), runs), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros((len(peq), runs), np.uint64)
-            score = np.repeat(length.astype(np.int32), runs, 1)
+            pv, mv = np.full(len(part), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(part), np.uint64)
+            score = length.astype(np.int64)
             best = score.copy()
-            for row in chars:
-                eq = peq.take(row, 1)
+            for row in np.ascontiguousarray(chars[found].T):
+                eq = flat.take(base + row.take(place))
                 xv = eq | mv
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph, mh = mv | ~(xh | pv), pv & xh
-                score += (ph >> last & one).astype(np.int32)
-                score -= (mh >> last & one).astype(np.int32)
+                score += (ph >> last & one).view(np.int64)
+                score -= (mh >> last & one).view(np.int64)
                 np.minimum(best, score, out=best)
                 ph <<= one
                 mh <<= one
                 pv, mv = mh | ~(xv | ph), ph & xv
-            part, run = np.nonzero(best <= self.edits[i : i + GROUP])
-            out.update(zip(self.owner[i + part].tolist(), (run * SPAN).tolist()))
+            near = best <= self.edits[part, 0]
+            out.update(zip(self.owner[part[near]].tolist(), (piece[near] * PIECE // SPAN * SPAN).tolist()))
         return out
 
+    def _lanes(self, text: np.ndarray, pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(parts, pieces) to be held against each other, at most SHORT_LANES at a time."""
+        parts, places, held = [], [], 0
+        for k, piece in self.shared(text, pieces):
+            own = np.arange(*np.searchsorted(self.owner, (k, k + 1)))
+            for i in range(0, len(piece), SHORT_LANES // len(own)):
+                some = piece[i : i + SHORT_LANES // len(own)]
+                if held + len(own) * len(some) > SHORT_LANES:
+                    yield np.concatenate(parts), np.concatenate(places)
+                    parts, places, held = [], [], 0
+                parts.append(np.repeat(own, len(some)))
+                places.append(np.tile(some, len(own)))
+                held += len(own) * len(some)
+        if held:
+            yield np.concatenate(parts), np.concatenate(places)
+
 
 class Index:
     """Keys of all windows of a block of items."""
@@ -190,13 +275,14 @@ class Index:
         self.strings, self.tables = [], []
         self.pieces: dict[int, list] = {}
         for string, keys in self.walks.strings(text, starts):
-            self.strings.append(np.ascontiguousarray(string.T))
+            self.strings.append(_rows(string))
             self.tables.append([])
             for key in keys:
                 order = np.argsort(key, kind="stable")
                 known = np.zeros(1 << FILTER_BITS, bool)
                 known[key >> np.uint32(32 - FILTER_BITS)] = True
-                self.tables[-1].append((key[order], order, known))
+                values, first = np.unique(key[order], return_index=True)
+                self.tables[-1].append((values, np.append(first, len(key)), order, np.packbits(known, bitorder="little")))
         self.shortest = min([len(n) - int(max_share * len(n)) for _, n in self.items + self.short], default=None)
         allowed = [int(max_share * len(n)) for _, n in self.short]
         #: Places in short of the items that may be edited; the others must occur exactly.
@@ -208,21 +294,29 @@ class Index:
         out: set[tuple[int, int]] = set()
         if not self.items:
             return out
+        one = np.uint8(1)
         for begin in range(0, len(text) - STEPS, STRIDE * CHUNK):
             starts = np.arange(begin, min(len(text) - STEPS, begin + STRIDE * CHUNK), STRIDE)
             for (string, keys), tables, known_strings in zip(self.walks.strings(text, starts), self.tables, self.strings):
-                for key, (known, order, among) in zip(keys, tables):
-                    hit = np.flatnonzero(among[key >> np.uint32(32 - FILTER_BITS)])
+                rows = None
+                for key, (known, first, order, among) in zip(keys, tables):
+                    bit = one << (key >> np.uint32(32 - FILTER_BITS) & np.uint32(7)).astype(np.uint8)
+                    hit = np.flatnonzero(among.take(key >> np.uint32(35 - FILTER_BITS)) & bit)
+                    lo = np.searchsorted(known, key[hit], "left")
+                    met = known.take(lo, mode="clip") == key[hit]
+                    hit, lo = hit[met], lo[met]
                     if not len(hit):
                         continue
-                    lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
-                    n = hi - lo
+                    lo, n = first[lo], first[lo + 1] - first[lo]
                     ends = np.cumsum(n)
+                    if rows is None:
+                        rows = _rows(string)
                     for i in range(0, int(ends[-1]), 1 << 16):  # the pairs (window, item's window) in slices
                         k = np.arange(i, min(int(ends[-1]), i + (1 << 16)))
-                        h = np.searchsorted(ends, k, "right")
+                        h = np.repeat(np.arange(len(n)), n) if len(k) == ends[-1] else np.searchsorted(ends, k, "right")
                         window = order[lo[h] + k - (ends[h] - n[h])]
-                        near = (string[:, hit[h]].T == known_strings[window]).mean(1) >= LEAST_AGREEMENT
+                        equal = (rows.take(hit[h], 0).view(np.uint8) == known_strings.take(window, 0).view(np.uint8)).view(np.uint64).sum(1)
+                        near = (equal * np.uint64(0x0101010101010101) >> np.uint64(56)) >= LEAST_AGREEMENT * STEPS  # its bytes added up
                         at = starts[hit[h[near]]] - self.shift[window[near]]
                         out.update(zip(self.item[window[near]].tolist(), (at // 16).tolist()))
         return out
@@ -307,13 +401,17 @@ class Index:
         order = sorted(range(len(asked)), key=lambda k: len(asked[k][1]))
         at, one = 0, np.uint64(1)
         while at < len(order):
-            some, peq, length, owner = [], [], [], []
-            while at < len(order) and (not some or len(peq) < LANES):
+            some, peq, place, length, owner = [], [], [], [], []
+            first: dict[int, int] = {}
+            while at < len(order) and (not some or len(owner) < LANES):
                 item = asked[order[at]][0]
                 if item not in self.pieces:
                     self.pieces[item] = _bit_rows(self.items[item][1])
-                for n, row in self.pieces[item]:
-                    peq.append(row)
+                if item not in first:
+                    first[item] = len(peq)
+                    peq += [row for _, row in self.pieces[item]]
+                for k, (n, _) in enumerate(self.pieces[item], first[item]):
+                    place.append(k)
                     length.append(n)
                     owner.append(len(some))
                 some.append(order[at])
@@ -322,18 +420,18 @@ class Index:
             chars = np.zeros((max(map(len, texts)), len(texts)), np.uint8)
             for i, t in enumerate(texts):
                 chars[: len(t), i] = t
-            flat, base, lane = np.concatenate(peq), np.arange(len(peq)) * 256, np.array(owner)
+            flat, base, lane = np.concatenate(peq), np.array(place) * 256, np.array(owner)
             last = np.array(length, np.uint64) - one
-            pv, mv = np.full(len(peq), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(peq), np.uint64)
-            score = np.array(length, np.int32)
+            pv, mv = np.full(len(lane), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(lane), np.uint64)
+            score = np.array(length, np.int64)
             best = score.copy()
             for row in chars:
                 eq = flat.take(base + row.take(lane))
                 xv = eq | mv
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph, mh = mv | ~(xh | pv), pv & xh
-                score += (ph >> last & one).astype(np.int32)
-                score -= (mh >> last & one).astype(np.int32)
+                score += (ph >> last & one).view(np.int64)
+                score -= (mh >> last & one).view(np.int64)
                 np.minimum(best, score, out=best)
                 ph <<= one
                 mh <<= one

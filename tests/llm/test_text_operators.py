@@ -392,6 +392,44 @@ def test_short_items_may_be_edited():
     assert any(e for (_, k), e in got.items() if k == 10)
 
 
+def test_short_items_by_grams():
+    """No run that holds an item is left out, and unrelated text costs no bit vectors."""
+    import random
+
+    rnd = random.Random(5)
+    chars = "abcdefghij klmnopé漢ß"
+    items = ["".join(rnd.choices(chars, k=n)) for n in (*range(1, 96, 3), 95, 95)]
+    short = decontaminate.Short(items, [int(0.2 * len(t)) for t in items])
+    text, held = "", []
+    for _ in range(6):
+        for k, t in enumerate(items):
+            c = list(t)
+            for _ in range(int(0.2 * len(t))):
+                at, kind = rnd.randrange(len(c)), rnd.randrange(3)
+                c[at : at + 1] = [[], [rnd.choice("xyz")], [c[at], rnd.choice("xyz")]][kind]
+            held.append((k, len(text)))
+            text += "".join(c) + "".join(rnd.choices("uvwxyz", k=rnd.randint(0, 400)))
+    found = short.candidates(decontaminate.codes(text))
+    for k, begin in held:
+        assert (k, begin // decontaminate.SPAN * decontaminate.SPAN) in found
+    long_ = [k for k, t in enumerate(items) if len(t) > 24]
+    near = decontaminate.Short([items[k] for k in long_], [int(0.2 * len(items[k])) for k in long_])
+    unrelated = decontaminate.codes("".join(rnd.choices("uvwxyz", k=20_000)))
+    assert list(near._lanes(unrelated, -(-len(unrelated) // decontaminate.PIECE))) == []
+
+
+def test_walks_by_two_steps():
+    walks, rng = decontaminate.Walks(), np.random.default_rng(2)
+    text = np.concatenate([rng.integers(0, 256, 900).astype(np.uint8), np.zeros(decontaminate.STEPS + 1, np.uint8)])
+    starts = np.arange(3, 900, 7)
+    for w, (string, _) in enumerate(walks.strings(text, starts)):
+        for i, at in enumerate(starts.tolist()):
+            for j in range(decontaminate.STEPS):
+                assert string[j, i] == text[at]
+                at += int(walks.move[w, j, text[at]])
+        assert (decontaminate._rows(string).view(np.uint8) == string.T).all()
+
+
 def test_edit_distance():
     def plain(a, b):
         best = list(range(len(a) + 1))
