@@ -49,7 +49,7 @@ BLOCK_CHARS = 200_000
 FILTER_BITS = 21
 #: Parts of items that are held against their stretches at a time; of short items, against pieces of text.
 LANES, SHORT_LANES = 4_096, 16_384
-CHUNK = 1 << 14
+CHUNK = 1 << 15
 SEED = 4_823
 
 
