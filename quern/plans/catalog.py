@@ -754,10 +754,10 @@ def ctl_01_research_run(spark, sf_dir):
 
 
 def line_fields(spark, sf_dir) -> DataFrame:
-    """Order lines as fields of their orders."""
+    """Order lines as fields of their orders; pos is a struct, as keys of any size can't be packed in one number."""
     k = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("entity_id"), (k.cast("long") * 10**10 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")).alias("pos"), F.when(k == 1, "company_name").when(k == 2, "website_url").otherwise("city").alias("name"),
+        F.col("l_orderkey").alias("entity_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.when(k == 1, "company_name").when(k == 2, "website_url").otherwise("city").alias("name"),
         F.when(F.col("l_returnflag") != "R", F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string"))).alias("value"), F.when(F.col("l_linestatus") == "O", "explicit").otherwise("inference").alias("basis"),
         F.when(F.col("l_partkey") % 5 > 0, F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))).otherwise(F.array().cast("array<string>")).alias("evidence_urls"),
     )

@@ -53,6 +53,14 @@ def test_sparql_literal_of_whole_html(spark, tmp_path):
     assert got == f'"{escaped}"'
 
 
+def test_first_supported_of_large_keys(spark, tmp_path):
+    # parts over 10**6 and suppliers over 10**4, as in tables of 1 GB: an earlier line holds, then the smaller part
+    rows = [(1, 1_199_999, 3, 2, "N", "O"), (1, 1, 4, 3, "N", "O"), (2, 11, 59_998, 2, "N", "O"), (2, 12, 1, 2, "N", "O")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["flt_21_first_supported"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "s0"), (2, "s1")} == set(duckdb.sql(catalog.SQL["flt_21_first_supported"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall())
+
+
 def test_entry_imports_without_llm():
     import __spark_entry__ as entry
 
