@@ -607,7 +607,7 @@ DECISIONS = SIGNALS + """, d as (select a.id as a, b.id as b, a.domain = b.domai
 @query(DECISIONS + " select * from o")
 def dec_03_entity_pairs(spark, sf_dir):
     s = entities.signals(companies(spark, sf_dir), S.HOST_SUFFIXES)
-    return entities.decided_pairs(s, entities.candidate_pairs(s))
+    return entities.entity_pairs(s)
 
 
 CLUSTERS = DECISIONS.replace("with c as", "with recursive c as", 1) + """, m as (select a, b from o where outcome = 'merge' union select b, a from o where outcome = 'merge'),

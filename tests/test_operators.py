@@ -113,6 +113,22 @@ def test_similar_names_anywhere(spark):
     assert [(r.outcome, r.reason) for r in entities.decided_pairs(s, entities.candidate_pairs(s)).collect()] == [("manual_review", "fuzzy_name")]
 
 
+def test_pairs_are_made_once_and_judged_where_they_are_made(spark, monkeypatch):
+    # slices of three rows; records that share several keys, names that are similar
+    monkeypatch.setattr(entities, "SALT_ROWS", 3)
+    name = lambda k: ("Northern lights trading company of oslo", "Northern lights trading company of osla", "Northern light trading company of oslo", f"n{k % 4}")[k % 4]
+    rows = [(k, name(k), f"https://h{k % 5}.nl" if k % 3 else None, f"https://h{k % 7}.nl" if k % 4 == 0 else None, [f"wikidata:Q{k % 3}"] if k % 5 == 0 else []) for k in range(40)]
+    s = entities.signals(spark.createDataFrame(rows, "id long, name string, website_url string, canonical_url string, ids array<string>")).persist()
+    every = s.select(F.col("id").alias("a")).join(s.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    whole = {tuple(r) for r in entities.decided_pairs(s, every).where("reason <> 'different'").collect()}
+    made = entities.entity_pairs(s)
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len({r[:2] for r in got}) and {r for r in got if r[4] != "different"} == whole
+    assert {r[4] for r in whole} >= {"domain", "canonical_domain", "identifier", "exact_name", "fuzzy_name", "conflicting_identifiers"}
+    # pairs are neither made distinct nor joined with their records: no exchange is by their ids
+    assert "hashpartitioning(a#" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_add_up(spark):
     facts_ = spark.createDataFrame(
         [("e", 1, "services", "Shopify design", "explicit", 0.9, ["https://e.nl/a"]), ("e", 2, "country", "the Netherlands", "explicit", 0.9, ["https://e.nl/b"]), ("e", 3, "website_url", "https://e.nl/", "explicit", 0.9, ["https://e.nl/"]), ("e", 4, "contact_page_url", "https://e.nl/contact", "explicit", 0.9, ["https://e.nl/"])],
