@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -207,16 +209,35 @@ def csv_guard(c: Column) -> Column:
     return F.when(F.regexp_replace(c, r"^\s+", "").rlike("^[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def casefold(values: pd.Series) -> pd.Series:
+#: Characters of texts that a Python worker holds as objects at once, one text at least.
+CHARS_AT_ONCE = 1 << 20
+
+
+def _by_parts(values: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """one() of each text, null for null. Texts become Python objects a part at a time, so that a worker holds little but the Arrow batch and its result."""
+    parts, begin, held = [], 0, 0
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        if held and held + size > CHARS_AT_ONCE:
+            parts.append(pa.array([None if v is None else one(v) for v in values.slice(begin, i - begin).to_pylist()], pa.string()))
+            begin, held = i, 0
+        held += size
+    parts.append(pa.array([None if v is None else one(v) for v in values.slice(begin).to_pylist()], pa.string()))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(StringType())
+def casefold(values: pa.Array) -> pa.Array:
     """Unicode case folding (Arrow); lower() keeps letters such as the sharp s."""
-    return values.map(lambda v: v.casefold(), na_action="ignore")
+    return _by_parts(values, str.casefold)
 
 
-@F.pandas_udf(StringType())
-def compatibility_form(values: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def compatibility_form(values: pa.Array) -> pa.Array:
     """NFKC (Arrow)."""
-    return values.str.normalize("NFKC")
+    from unicodedata import normalize
+
+    return _by_parts(values, lambda v: normalize("NFKC", v))
 
 
 @F.pandas_udf(StringType())

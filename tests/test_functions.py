@@ -62,3 +62,16 @@ def test_public_addresses(spark):
 def test_page_labels_are_no_names(spark):
     rows = spark.createDataFrame([(x,) for x in ("Our Team", "We", "About Acme", "Team Acme Digital 24", "Acme Web Agency")], "x string").select("x", text.plausible_company_name(F.col("x")).alias("ok")).collect()
     assert [r.x for r in rows if r.ok] == ["Team Acme Digital 24", "Acme Web Agency"]
+
+
+def test_texts_are_folded_part_by_part(monkeypatch):
+    import pyarrow as pa
+
+    # parts end before a text that would pass the bound; a longer text is a part of its own
+    monkeypatch.setattr(text, "CHARS_AT_ONCE", 8)
+    texts = ["Ab", None, "STRASSE", "", "ſ" * 30, None, "C", "ﬁ"]
+    parts, concat = [], pa.concat_arrays
+    monkeypatch.setattr(pa, "concat_arrays", lambda xs: parts.extend(len(x) for x in xs) or concat(xs))
+    got = text._by_parts(pa.array(["x", *texts]).slice(1), str.casefold).to_pylist()
+    assert got == [t and t.casefold() for t in texts] and parts == [2, 2, 1, 3]
+    assert text._by_parts(pa.array([], pa.string()), str.casefold).to_pylist() == []
