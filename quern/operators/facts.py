@@ -19,26 +19,27 @@ CONFIDENCE = {"canonical": 0.98, "contact": 0.96, "og_site_name": 0.90, "og_titl
 CORE_FIELDS = ["company_name", "website_url", "summary", "services", "contact_page_url", "country"]
 
 
-def _signal(source: DataFrame, name: str, value: Column, method: str, entity: Column, pos: Column, url: Column) -> DataFrame:
-    out = source.select(entity.alias("entity_id"), pos.alias("pos"), F.lit(name).alias("name"), value.alias("value"), url.alias("url"), text.compact_fragment(value).alias("fragment"), F.lit(method).alias("method"), F.lit(CONFIDENCE[method]).alias("confidence"))
-    return out.where("value is not null and value <> ''")
+def _signals(source: DataFrame, entity: Column, pos: Column, url: Column, signals: list[tuple[str, Column, str]]) -> DataFrame:
+    """The signals (name, value, method) of each row that have a value: all from one reading of the source."""
+    each = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(m).alias("method"), F.lit(CONFIDENCE[m]).alias("confidence")) for n, v, m in signals])
+    found = source.select(entity.alias("entity_id"), pos.alias("pos"), url.alias("url"), F.explode(each).alias("s")).select("entity_id", "pos", "s.name", "s.value", "url", "s.method", "s.confidence").where("value is not null and value <> ''")
+    return found.select("entity_id", "pos", "name", "value", "url", text.compact_fragment(F.col("value")).alias("fragment"), "method", "confidence")
 
 
 def fact_candidates(pages: DataFrame) -> DataFrame:
-    """Candidates from the signals of pages (page_id, url, html): names, site, services, contact and country. The entity is the host without www."""
-    entity, pos, url = urls.without_www(urls.host(F.col("url"))), F.col("page_id"), F.col("url")
-    base = pages.withColumn("page_title", P.title(F.col("html"))).withColumn("first_heading", F.get(P.headings(F.col("html")), F.lit(0))).where("url is not null")
-    nav = P.navigation_links(pages).withColumnRenamed("url", "target").join(pages.select("page_id", "url"), "page_id")
+    """Candidates from the signals of pages (page_id, url, html): names, site, services, contact and country. The entity is the host without www.
+
+    Pages are read twice: for their own signals, and for their links.
+    """
+    url = F.col("url")
+    entity = lambda u: urls.without_www(urls.host(u))
+    base = pages.where("url is not null").withColumn("page_title", P.title(F.col("html"))).withColumn("first_heading", F.get(P.headings(F.col("html")), F.lit(0)))
     name = F.trim(F.regexp_extract("page_title", r"^(.*?)(?:\s+[|—–-]\s+.*)?$", 1))
-    contact = F.col("target").rlike("(?i)/(contact|contact-us|get-in-touch|contacteer|contactgegevens)(/|$)")
-    return (
-        _signal(base, "company_name", name, "title", entity, pos, url)
-        .unionByName(_signal(base, "company_name", F.col("first_heading"), "heading", entity, pos, url))
-        .unionByName(_signal(base, "website_url", F.concat(urls.origin(P.canonical_url(F.col("html"), url)), F.lit("/")), "canonical", entity, pos, url))
-        .unionByName(_signal(base, "country", text.country_from_text(F.col("page_title")), "country_text", entity, pos, url))
-        .unionByName(_signal(nav, "services", F.col("text"), "service_section", entity, F.col("page_id") * 1000 + F.col("pos"), url))
-        .unionByName(_signal(nav.where(contact), "contact_page_url", F.col("target"), "contact", entity, F.col("page_id") * 1000 + F.col("pos"), url))
-    )
+    own = [("company_name", name, "title"), ("company_name", F.col("first_heading"), "heading"), ("website_url", F.concat(urls.origin(P.canonical_url(F.col("html"), url)), F.lit("/")), "canonical"), ("country", text.country_from_text(F.col("page_title")), "country_text")]
+    nav = P.based_links(pages)
+    contact = F.when(F.col("url").rlike("(?i)/(contact|contact-us|get-in-touch|contacteer|contactgegevens)(/|$)"), F.col("url"))
+    linked = [("services", F.col("text"), "service_section"), ("contact_page_url", contact, "contact")]
+    return _signals(base, entity(url), F.col("page_id"), url, own).unionByName(_signals(nav, entity(F.col("base")), F.col("page_id") * 1000 + F.col("pos"), F.col("base"), linked))
 
 
 def _raised(confidence: Column, n: Column) -> Column:

@@ -20,40 +20,56 @@ def component_scores(facts: DataFrame, companies: DataFrame, terms: list[str], l
     """One row an entity: topic, location, services, website, contact, evidence, completeness and total.
 
     facts: entity_id, pos, name, value, basis (explicit or inference), confidence, evidence_urls. companies:
-    entity_id, website_url. All components are aggregates of one pass grouped by entity: one shuffle.
+    entity_id, website_url. Facts are read once: they are aggregated by entity and field, those rows by entity, and only
+    then companies are joined. Each aggregate is of a fixed size but for the domains of an entity's own urls.
     """
     listed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    name, value, low = F.col("name"), F.col("value"), F.lower(text.compact(F.col("value")))
-    cited = (F.size(F.coalesce("evidence_urls", F.array().cast("array<string>"))) > 0) & value.isNotNull()
+    name, value, low = F.col("name"), F.col("value"), F.col("low")
+    rows = facts.withColumn("low", F.lower(text.compact(value))).withColumn("cited", (F.size(F.coalesce("evidence_urls", F.array().cast("array<string>"))) > 0) & value.isNotNull())
+    cited = F.col("cited")
     supported = cited & ~name.isin(IGNORED_FIELDS)
     explicit, inferred = F.col("basis") == "explicit", F.col("basis") == "inference"
-    hit = supported & F.arrays_overlap(F.regexp_extract_all(low, F.lit(text.WORD), 0), listed(terms))
     service = name.isin(SERVICE_FIELDS)
-    target = F.lit(location.lower())
     dutch = location.lower() in NL_MARKERS
-    match = F.contains(low, target) | (F.lit(dutch) & (low.isin(NL_MARKERS) | low.rlike("netherlands|nederland")))
+    match = F.contains(low, F.lit(location.lower())) | (F.lit(dutch) & (low.isin(NL_MARKERS) | low.rlike("netherlands|nederland")))
     placed = supported & name.isin(LOCATION_FIELDS)
     city = F.lit(dutch) & low.rlike("|".join(NL_CITIES))
-    own_site = F.exists("evidence_urls", lambda u: urls.same_registrable_domain(value, u)) & urls.same_registrable_domain(value, F.coalesce("company_url", value))
-    own_contact = F.col("company_url").isNotNull() & urls.same_registrable_domain(value, F.col("company_url")) & F.exists("evidence_urls", lambda u: urls.same_registrable_domain(value, u))
-    contrary = facts.where(cited).groupBy("entity_id", "name").agg((F.countDistinct(F.lower(text.compact(F.col("value")))) > 1).alias("contrary"))
-    rows = facts.join(companies.select("entity_id", F.col("website_url").alias("company_url")), "entity_id", "left").join(contrary, ["entity_id", "name"], "left")
-    place_points = F.when(explicit & match, F.when(F.coalesce("contrary", F.lit(False)), 10).otherwise(20)).when(inferred & match, 5).when(explicit & city, 10)
+    kind = F.when(placed, F.when(explicit & match, "stated").when(inferred & match, "inferred").when(explicit & city, "city"))
+    # a url's own domain, if one of its evidence has it, too: to be held against the company's
+    own = F.when(supported & explicit & name.isin("website_url", "contact_page_url") & F.exists("evidence_urls", lambda u: urls.same_registrable_domain(value, u)), urls.registrable_domain(urls.normalize_domain(value)))
+    seen = F.when(supported, F.transform("evidence_urls", urls.normalize_company_url))
     any_ = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    agg = rows.groupBy("entity_id").agg(
-        F.when(any_(service & hit & explicit), 30).when(any_(service & hit & inferred), 10).when(any_(~service & hit & explicit), 8).otherwise(0).alias("topic"),
-        F.coalesce(F.min_by(F.when(placed, place_points), F.when(placed & place_points.isNotNull(), F.col("pos"))), F.lit(0)).alias("location"),
-        F.coalesce(F.min_by(F.when(explicit, 15).otherwise(5), F.when(service & hit, F.col("pos"))), F.lit(0)).alias("services"),
-        F.when(any_((name == "website_url") & supported & explicit & own_site), 10).otherwise(0).alias("website"),
-        F.when(any_((name == "contact_page_url") & supported & explicit & own_contact), 10).otherwise(0).alias("contact"),
-        F.sum(supported.cast("int")).alias("n"), any_(supported & inferred).alias("inference"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(supported, F.transform("evidence_urls", urls.normalize_company_url)))))).alias("documents"),
-        F.size(F.collect_set(F.when(F.coalesce("contrary", F.lit(False)), name))).alias("contraries"),
-        F.size(F.collect_set(F.when((F.coalesce("confidence", F.lit(1.0)) < 0.5) | ~cited, name))).alias("weak"),
-        F.size(F.collect_set(F.when(cited & name.isin(requested or [""]), name))).alias("complete"),
+    rows = rows.select(
+        "entity_id", "pos", "name", "confidence", "low", "cited", supported.alias("supported"), explicit.alias("explicit"), inferred.alias("inferred"), service.alias("service"),
+        (supported & F.arrays_overlap(F.regexp_extract_all(low, F.lit(text.WORD), 0), listed(terms))).alias("hit"), kind.alias("kind"), own.alias("own"), seen.alias("seen"),
     )
-    evidence = 8 + F.when(F.col("documents") >= 2, 2).otherwise(0) - F.when(F.col("inference"), 2).otherwise(0) - F.when(F.col("contraries") > 0, 4).otherwise(0) - F.least(F.lit(4), F.col("weak") * 2)
-    out = agg.withColumn("evidence", F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.lit(0), evidence)))
+    c = F.col
+    fields = rows.groupBy("entity_id", "name").agg(
+        any_(c("service") & c("hit") & c("explicit")).alias("service_stated"), any_(c("service") & c("hit") & c("inferred")).alias("service_inferred"), any_(~c("service") & c("hit") & c("explicit")).alias("other_stated"),
+        F.min_by("kind", F.when(c("kind").isNotNull(), c("pos"))).alias("kind"), F.min(F.when(c("kind").isNotNull(), c("pos"))).alias("place_pos"),
+        F.min_by(F.when(c("explicit"), 15).otherwise(5), F.when(c("service") & c("hit"), c("pos"))).alias("service_points"), F.min(F.when(c("service") & c("hit"), c("pos"))).alias("service_pos"),
+        F.collect_set("own").alias("own"), any_(c("supported")).alias("supported"), any_(c("supported") & c("inferred")).alias("inference"),
+        # more than one of them: the least is not the greatest
+        F.min(F.array_min("seen")).alias("first_seen"), F.max(F.array_max("seen")).alias("last_seen"),
+        F.coalesce(F.min(F.when(c("cited"), c("low"))) != F.max(F.when(c("cited"), c("low"))), F.lit(False)).alias("contrary"),
+        any_(name.isNotNull() & ((F.coalesce("confidence", F.lit(1.0)) < 0.5) | ~c("cited"))).alias("weak"), (any_(c("cited")) & name.isin(requested or [""])).alias("complete"),
+    )
+    points = F.when(c("kind") == "stated", F.when(c("contrary"), 10).otherwise(20)).when(c("kind") == "inferred", 5).when(c("kind") == "city", 10)
+    domains = lambda n: F.flatten(F.collect_list(F.when(name == n, c("own"))))
+    agg = fields.groupBy("entity_id").agg(
+        F.when(F.max("service_stated"), 30).when(F.max("service_inferred"), 10).when(F.max("other_stated"), 8).otherwise(0).alias("topic"),
+        F.coalesce(F.min_by(points, "place_pos"), F.lit(0)).alias("location"), F.coalesce(F.min_by("service_points", "service_pos"), F.lit(0)).alias("services"),
+        domains("website_url").alias("sites"), domains("contact_page_url").alias("contacts"), F.max("supported").alias("supported"), F.max("inference").alias("inference"),
+        F.coalesce(F.min("first_seen") != F.max("last_seen"), F.lit(False)).alias("documents"), F.max("contrary").alias("contrary"),
+        F.sum(c("weak").cast("int")).alias("weak"), F.sum(c("complete").cast("int")).alias("complete"),
+    )
+    named = companies.groupBy("entity_id").agg(F.max("website_url").alias("company_url"), F.collect_set(urls.registrable_domain(urls.normalize_domain(F.col("website_url")))).alias("at"))
+    met = agg.join(named, "entity_id", "left")
+    held = lambda xs: F.coalesce(F.arrays_overlap(xs, "at"), F.lit(False))
+    met = met.withColumn("website", F.when(F.when(c("company_url").isNull(), F.size("sites") > 0).otherwise(held("sites")), 10).otherwise(0))
+    met = met.withColumn("contact", F.when(held("contacts"), 10).otherwise(0))
+    evidence = 8 + F.when(c("documents"), 2).otherwise(0) - F.when(c("inference"), 2).otherwise(0) - F.when(c("contrary"), 4).otherwise(0) - F.least(F.lit(4), c("weak") * 2)
+    out = met.withColumn("evidence", F.when(~c("supported"), 0).otherwise(F.greatest(F.lit(0), evidence)))
     done = text.round_ratio(5, F.col("complete"), F.lit(len(requested))).cast("int") if requested else F.lit(5)
     out = out.withColumn("completeness", done)
     return out.select("entity_id", *[F.col(c).cast("int").alias(c) for c in MAXIMA], sum((F.col(c) for c in MAXIMA), F.lit(0)).cast("int").alias("total"))

@@ -703,6 +703,12 @@ def score_facts(spark, sf_dir) -> DataFrame:
     return f.select("entity_id", "pos", "name", "value", F.when(F.col("pos") % 4 == 0, "inference").otherwise("explicit").alias("basis"), "confidence", F.array("url").alias("evidence_urls"))
 
 
+def score_sites(spark, sf_dir) -> DataFrame:
+    """Sites of all hosts, from the urls alone: the facts are not read for them."""
+    e = urls.without_www(urls.host(F.col("url")))
+    return table(spark, sf_dir, "pages").select(e.alias("entity_id")).distinct().withColumn("website_url", F.concat(F.lit("https://"), "entity_id", F.lit("/")))
+
+
 SCORES = f"""with f as (select entity_id, pos, name, value, lower({S.compact('value')}) as low, case when pos % 4 = 0 then 'inference' else 'explicit' end as basis, confidence, url from {S.FACT_ROWS}),
     h as (select *, list_contains({S.words('low')}, 'than') or list_contains({S.words('low')}, 'the') as hit, {S.registrable(S.host('value'), True)} = {S.registrable(S.host('url'), True)} as own from f),
     x as (select entity_id, name from f group by all having count(distinct low) > 1),
@@ -716,7 +722,7 @@ SCORES = f"""with f as (select entity_id, pos, name, value, lower({S.compact('va
 @query(SCORES + " select entity_id, topic::int as topic, location::int as location, services::int as services, website::int as website, contact::int as contact, evidence::int as evidence, completeness::int as completeness, (topic + services + website + evidence + completeness)::int as total from s")
 def scr_01_component_scores(spark, sf_dir):
     f = score_facts(spark, sf_dir)
-    sites = f.select("entity_id").distinct().withColumn("website_url", F.concat(F.lit("https://"), "entity_id", F.lit("/")))
+    sites = score_sites(spark, sf_dir)
     return scoring.component_scores(f, sites, ["than", "the"], "atlantis", ["country", "company_name"])
 
 

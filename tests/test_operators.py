@@ -138,6 +138,8 @@ def test_scores_add_up(spark):
     scores = scoring.component_scores(facts_, companies, ["shopify"], "Netherlands", ["country"])
     assert scores.first().asDict() == {"entity_id": "e", "topic": 30, "location": 20, "services": 15, "website": 10, "contact": 10, "evidence": 10, "completeness": 5, "total": 100}
     assert scoring.penalties(scores).count() == 0
+    # facts and companies are read once each
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
 
 
 def test_export(spark, tmp_path):
