@@ -26,17 +26,28 @@ def _signals(source: DataFrame, entity: Column, pos: Column, url: Column, signal
     return found.select("entity_id", "pos", "name", "value", "url", text.compact_fragment(F.col("value")).alias("fragment"), "method", "confidence")
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with what facts need of the html instead of it: all that a plan shuffles before the facts."""
+    html, url = F.col("html"), F.col("url")
+    return pages.select("page_id", "url", P.title(html).alias("page_title"), F.get(P.headings(html), F.lit(0)).alias("first_heading"), P.canonical_url(html, url).alias("canonical"), P.anchors(html).alias("anchors"))
+
+
 def fact_candidates(pages: DataFrame) -> DataFrame:
     """Candidates from the signals of pages (page_id, url, html): names, site, services, contact and country. The entity is the host without www.
 
     Pages are read twice: for their own signals, and for their links.
     """
+    return read_candidates(read_pages(pages))
+
+
+def read_candidates(read: DataFrame) -> DataFrame:
+    """fact_candidates of pages as read_pages gives them."""
     url = F.col("url")
     entity = lambda u: urls.without_www(urls.host(u))
-    base = pages.where("url is not null").withColumn("page_title", P.title(F.col("html"))).withColumn("first_heading", F.get(P.headings(F.col("html")), F.lit(0)))
+    base = read.where("url is not null")
     name = F.trim(F.regexp_extract("page_title", r"^(.*?)(?:\s+[|—–-]\s+.*)?$", 1))
-    own = [("company_name", name, "title"), ("company_name", F.col("first_heading"), "heading"), ("website_url", F.concat(urls.origin(P.canonical_url(F.col("html"), url)), F.lit("/")), "canonical"), ("country", text.country_from_text(F.col("page_title")), "country_text")]
-    nav = P.based_links(pages)
+    own = [("company_name", name, "title"), ("company_name", F.col("first_heading"), "heading"), ("website_url", F.concat(urls.origin(F.col("canonical")), F.lit("/")), "canonical"), ("country", text.country_from_text(F.col("page_title")), "country_text")]
+    nav = P.anchored_links(read)
     contact = F.when(F.col("url").rlike("(?i)/(contact|contact-us|get-in-touch|contacteer|contactgegevens)(/|$)"), F.col("url"))
     linked = [("services", F.col("text"), "service_section"), ("contact_page_url", contact, "contact")]
     return _signals(base, entity(url), F.col("page_id"), url, own).unionByName(_signals(nav, entity(F.col("base")), F.col("page_id") * 1000 + F.col("pos"), F.col("base"), linked))
@@ -47,15 +58,18 @@ def _raised(confidence: Column, n: Column) -> Column:
 
 
 def resolved(candidates: DataFrame) -> DataFrame:
-    """(entity_id, name, value, confidence, n_urls, conflict): candidates by confidence; of those within AUTHORITY of the best, more than one conflict key is a conflict without a value; else the first, cited by all urls with its key."""
-    w = Window.partitionBy("entity_id", "name")
-    keyed = candidates.withColumn("key", text.conflict_key(F.col("name"), F.col("value"))).withColumn("top", F.max("confidence").over(w))
-    strong = F.col("confidence") >= F.col("top") - AUTHORITY
-    by_key = keyed.groupBy("entity_id", "name", "key").agg(
-        F.max(strong).alias("strong"), F.max(F.struct("confidence", (-F.col("pos")).alias("p"), F.col("value"))).alias("best"), F.countDistinct("url").alias("n_urls")
-    )
-    per_field = by_key.groupBy("entity_id", "name").agg(F.sum(F.col("strong").cast("int")).alias("keys"), F.max(F.struct(F.col("best"), F.col("n_urls"))).alias("b"))
-    conflict = F.col("keys") > 1
+    """(entity_id, name, value, confidence, n_urls, conflict): candidates by confidence; of those within AUTHORITY of the best, more than one conflict key is a conflict without a value; else the first, cited by all urls with its key.
+
+    The two best keys of a field tell all: more than one is strong if the second is. Each task gives on two keys a field,
+    so that no task gets all candidates, nor all keys, of a large field.
+    """
+    keyed = candidates.withColumn("key", text.conflict_key(F.col("name"), F.col("value")))
+    by_key = keyed.groupBy("entity_id", "name", "key").agg(F.max(F.struct("confidence", (-F.col("pos")).alias("p"), F.col("value"))).alias("best"), F.countDistinct("url").alias("n_urls"))
+    w = Window.partitionBy("entity_id", "name").orderBy(F.desc("best"), F.desc("n_urls"))
+    two = by_key.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    per_field = two.groupBy("entity_id", "name").agg(F.max(F.when(F.col("k") == 1, F.struct("best", "n_urls"))).alias("b"), F.max(F.when(F.col("k") == 2, F.col("best.confidence"))).alias("second"))
+    top = F.col("b.best.confidence")
+    conflict = F.when(top.isNotNull(), F.coalesce(F.col("second") >= top - AUTHORITY, F.lit(False)))
     return per_field.select(
         "entity_id", "name", F.when(~conflict, F.col("b.best.value")).alias("value"), F.when(~conflict, _raised(F.col("b.best.confidence"), F.col("b.n_urls"))).alias("confidence"),
         F.when(~conflict, F.col("b.n_urls")).otherwise(0).alias("n_urls"), conflict.alias("conflict"),

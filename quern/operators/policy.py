@@ -35,26 +35,38 @@ def source_policy(sources: DataFrame, rules: DataFrame, source_col: str = "sourc
     equality, so that many rules need no comparison of each pair; each distinct domain is matched once.
     """
     named = sources.withColumn("domain", urls.normalize_domain(F.col(source_col)))
-    domains = named.select("domain").where("domain is not null").distinct()
+    joined = named.join(best_rules(named.select("domain"), rules), "domain", "left")
+    decision = F.when(F.col("domain").isNull() | (F.col("b.list") == "blocked"), "rejected").when(F.col("b.list") == "approved", "approved").otherwise("manual_review_required")
+    reason = F.when(F.col("domain").isNull(), "malformed").otherwise(F.coalesce("b.list", F.lit("unknown")))
+    return joined.select(*[F.col(c) for c in sources.columns], "domain", decision.alias("decision"), reason.alias("reason"), F.col("b.rule").alias("rule"))
+
+
+def blocked_domains(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """(domain): those of domains, each once, that source_policy rejects as blocked."""
+    return best_rules(domains, rules).where("b.list = 'blocked'").select("domain")
+
+
+def best_rules(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """(domain, b): the rule that holds for each domain that has one, b with list and rule."""
+    domains = domains.where("domain is not null").distinct()
     labels = F.split("domain", r"\.")
     tails = domains.select("domain", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("tail"))
     known = rules.select(F.col("list"), F.col("kind"), F.col("rule"), F.when(F.col("kind") == "exact", urls.without_www(F.col("rule"))).otherwise(F.col("rule")).alias("tail")).distinct()
     hits = tails.join(known, "tail").where((F.col("kind") == "subdomains") | (urls.without_www(F.col("domain")) == F.col("tail")))
     order = F.when(F.col("list") == "blocked", 3).when(F.col("list") == "approved", 2).otherwise(1)
-    best = hits.groupBy("domain").agg(F.max(F.struct(order.alias("o"), (F.col("kind") == "exact").alias("e"), F.length("rule").alias("n"), F.col("list"), F.col("rule"))).alias("b"))
-    joined = named.join(best, "domain", "left")
-    decision = F.when(F.col("domain").isNull() | (F.col("b.list") == "blocked"), "rejected").when(F.col("b.list") == "approved", "approved").otherwise("manual_review_required")
-    reason = F.when(F.col("domain").isNull(), "malformed").otherwise(F.coalesce("b.list", F.lit("unknown")))
-    return joined.select(*[F.col(c) for c in sources.columns], "domain", decision.alias("decision"), reason.alias("reason"), F.col("b.rule").alias("rule"))
+    return hits.groupBy("domain").agg(F.max(F.struct(order.alias("o"), (F.col("kind") == "exact").alias("e"), F.length("rule").alias("n"), F.col("list"), F.col("rule"))).alias("b"))
 
 
 def official_website(url: Column, domain: Column, title: Column) -> Column:
     """https://host/ if the domain is the url's, and neither path nor title is a directory's; else null."""
-    clean = urls.normalize_company_url(url)
-    same = urls.without_www(urls.normalize_domain(domain)) == urls.host(clean)
-    listed = F.arrays_overlap(urls.path_segments(clean), F.array(*[F.lit(s) for s in DIRECTORY_SEGMENTS]))
     named = text.compact(F.lower(F.coalesce(title, F.lit("")))).rlike("|".join(DIRECTORY_TITLES))
-    return F.when(same & ~listed & ~named, F.concat(F.lit("https://"), urls.authority(clean), F.lit("/")))
+
+    def site(clean: Column) -> Column:
+        same = urls.without_www(urls.normalize_domain(domain)) == urls.host(clean)
+        listed = F.arrays_overlap(urls.path_segments(clean), F.array(*[F.lit(s) for s in DIRECTORY_SEGMENTS]))
+        return F.when(same & ~listed & ~named, F.concat(F.lit("https://"), urls.authority(clean), F.lit("/")))
+
+    return urls.let(urls.normalize_company_url(url), site)
 
 
 def is_safe_path(url: Column) -> Column:
@@ -73,7 +85,9 @@ def is_safe_path(url: Column) -> Column:
 
 
 def has_challenge(html: Column) -> Column:
-    return F.substring(html, 1, 250_000).rlike("(?i)(" + "|".join(CHALLENGES) + ")")
+    # the pattern is tried only where one of its first letters stands
+    starts = "".join(sorted({c.removeprefix(r"\b")[0] for c in CHALLENGES}))
+    return F.substring(html, 1, 250_000).rlike(f"(?i)(?=[{starts}])(" + "|".join(CHALLENGES) + ")")
 
 
 def response_reason(status: Column, content_type: Column, length: Column, limit: int = 2_000_000) -> Column:

@@ -142,6 +142,47 @@ def test_scores_add_up(spark):
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
 
 
+def test_run_reads_each_page_where_it_lies(spark):
+    page = lambda t, body="": f"<title>{t}</title><nav><a href=\"/a\">{t} work</a></nav>{body}"
+    rows = [
+        (1, "https://good.nl/", page("Good")), (2, "https://www.good.nl/b", page("Good")), (3, "https://bad.nl/", page("Bad")), (4, "https://x.bad.nl/c", page("Bad")), (5, "https://other.nl/directory/x", page("Other")),
+        (6, "https://other.nl/login", page("Other")), (7, "https://other.nl/", page("Other", "Solve the CAPTCHA")), (8, "https://other.nl/z", page("Other", "recaptcha, x cf-chl, about")), (9, "no host", page("None")), (10, "https://null.nl/", None),
+    ]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("blocked", "subdomains", "bad.nl")], "list string, kind string, rule string")
+    staged = {r.page_id: r.reason for r in research.staged_candidates(p, rules).collect()}
+    policy_, site = "policy: blocked", "not an official website"
+    assert staged == {1: None, 2: "seen", 3: policy_, 4: policy_, 5: site, 6: "restricted path", 7: "bot challenge", 8: "seen", 9: "policy: malformed", 10: None}
+    read = research.readable_pages(p, rules)
+    assert {r.page_id for r in read.collect()} == {k for k, why in staged.items() if why in (None, "seen")}
+    kept = p.where(F.col("page_id").isin(1, 2, 8, 10))
+    assert sorted(map(tuple, facts.read_candidates(read).collect())) == sorted(map(tuple, facts.fact_candidates(kept).collect()))
+    # html is read and left: no join gets it; no window deals pages out by site
+    todo, joins = [read._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        assert node.nodeName() != "Window"
+        if node.nodeName() == "Join":
+            joins += 1
+            assert all("html#" not in child.output().mkString(" ") for child in below)
+        todo += below
+    assert joins == 2
+
+
+def test_large_field_is_resolved_from_two_keys_a_task(spark):
+    rows = [("e", k, "services", f"s{k}", f"u{k}", 0.5 + k / 1000) for k in range(300)] + [("f", k, "country", v, f"u{k}", c) for k, (v, c) in enumerate([("Spain", 0.9), ("spain ", 0.9), ("France", 0.88), ("Italy", 0.1)])]
+    rows += [("g", 1, "country", "Spain", "u", 0.9), ("g", 2, "country", "France", "u", 0.87), ("h", 1, "country", "Spain", "u", None), ("h", 2, "country", "France", "u", None), ("i", 1, "country", "Spain", "u", 0.9), ("i", 2, "country", "France", "u", None)]
+    c = spark.createDataFrame(rows, "entity_id string, pos long, name string, value string, url string, confidence double")
+    made = facts.resolved(c)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert {r.entity_id: tuple(r)[2:] for r in made.collect()} == {
+        "e": (None, None, 0, True), "f": (None, None, 0, True), "g": ("Spain", 0.9, 1, False), "h": (None, None, 0, None), "i": ("Spain", 0.9, 1, False),
+    }
+    # no window has all candidates of a field, and that over its keys is cut before they are dealt out
+    assert plan.count("Window [") == 1 and plan.count("WindowGroupLimit") == 2
+
+
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([("=x", 1)], "a string, b int")
     assert export.export(spark, rows, "csv", f"file://{tmp_path}/out") == {"format": "csv", "location": f"file://{tmp_path}/out", "count": 1}
